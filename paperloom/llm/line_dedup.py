@@ -141,11 +141,11 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
     asked = maybe_in(df.withColumn("_key", key), "_key", read).drop("_key")
     none = F.lit(0).cast("int")
     rest = asked.where("not maybe").drop("maybe")
-    joined = asked.where("maybe").drop("maybe").join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
+    joined = asked.where("maybe").drop("maybe").join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_lost")), F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
     lines = F.split(F.col(text).cast("string"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    changed = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
+    changed = joined.withColumn(text, F.when(F.col("_lost").isNull(), F.col(text)).otherwise(kept))
     if count:
-        rest, changed = rest.withColumn(count, none), changed.withColumn(count, F.when(F.col("_gone").isNull(), none).otherwise(F.size("_gone")))
-    return rest.unionByName(changed.drop("_gone"))
+        rest, changed = rest.withColumn(count, none), changed.withColumn(count, F.when(F.col("_lost").isNull(), none).otherwise(F.size("_lost")))
+    return rest.unionByName(changed.drop("_lost"))

@@ -88,7 +88,7 @@ QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_bpe,
 
 SQL = {
     "op2_embedding_dedup": """
-with recursive v as (select vec_id, label, list_transform(embedding, x -> cast(x as double)) as e from embeddings where label is not null),
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null),
 l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
 n as (select a, count(*) as n from l group by a),
 r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
