@@ -30,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which nothing is left."""
-    left = dedup_lines(docs, count="_gone")
-    kept = left.where("_gone = 0 or trim(text) <> ''")
-    return kept.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    left = dedup_lines(docs, count="n_gone")
+    kept = left.where("n_gone = 0 or trim(text) <> ''")
+    return kept.withColumn("n_chars", F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
