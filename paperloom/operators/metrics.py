@@ -31,10 +31,10 @@ def adjusted_rand(labels: DataFrame, truth: str = "class_idx", found: str = "clu
 
 def _information(labels: DataFrame, truth: str, found: str) -> DataFrame:
     t = contingency(labels, truth, found)
-    total = F.broadcast(t.agg(F.sum("n").alias("N")))
-    entropy = lambda c, name: t.groupBy(c).agg(F.sum("n").alias("n")).crossJoin(total).agg(F.sum(-F.col("n") / F.col("N") * F.log(F.col("n") / F.col("N"))).alias(name))
+    total = F.broadcast(t.agg(F.sum("n").alias("all")))
+    entropy = lambda c, name: t.groupBy(c).agg(F.sum("n").alias("m")).crossJoin(total).agg(F.sum(-F.col("m") / F.col("all") * F.log(F.col("m") / F.col("all"))).alias(name))
     ra, rb = (t.groupBy(c).agg(F.sum("n").alias(f"n{c}")) for c in ("a", "b"))
-    mi = t.join(ra, "a").join(rb, "b").crossJoin(total).agg(F.sum(F.col("n") / F.col("N") * F.log(F.col("n").cast("double") * F.col("N") / (F.col("na").cast("double") * F.col("nb")))).alias("mi"))
+    mi = t.join(ra, "a").join(rb, "b").crossJoin(total).agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n").cast("double") * F.col("all") / (F.col("na").cast("double") * F.col("nb")))).alias("mi"))
     return mi.crossJoin(F.broadcast(entropy("a", "ha"))).crossJoin(F.broadcast(entropy("b", "hb")))
 
 

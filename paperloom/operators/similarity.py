@@ -45,16 +45,17 @@ def block_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str,
     place = lambda df, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
     x = left.withColumn("_a", place(left, a)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     y = right.withColumn("_b", place(right, b)).withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+    names = {f"r_{c}": c for c in y.columns}  # both sides may be the same frame
+    y = y.withColumnsRenamed({c: n for n, c in names.items()})
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
-        return kernel(l, r)
+        return kernel(l, r.rename_columns([names[c] for c in r.column_names]))
 
-    return x.groupBy("_a", "_b").cogroup(y.groupBy("_a", "_b")).applyInArrow(run, schema)
+    return x.groupBy("_a", "_b").cogroup(y.groupBy("r__a", "r__b")).applyInArrow(run, schema)
 
 
 def _topk(k: int, skip_self: bool) -> Kernel:
     def kernel(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
-        i, j, s = [np.zeros(0, np.int64)] * 2, None, None
         if not l.num_rows or not r.num_rows:
             return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
         li, ri = l.column("node_id").to_numpy(), r.column("node_id").to_numpy()
@@ -97,9 +98,9 @@ def pairs_above(df: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(i, j, sim) of all ordered pairs with at least this cosine, each vector with itself too."""
 
     def kernel(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
-        li, ri = l.column("node_id").to_numpy(), r.column("node_id").to_numpy()
         i, j, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if len(li) and len(ri):
+        if l.num_rows and r.num_rows:
+            li, ri = l.column("node_id").to_numpy(), r.column("node_id").to_numpy()
             x, y = _unit(_matrix(l.column("embedding"))), _unit(_matrix(r.column("embedding")))
             for at in range(0, len(li), 512):
                 sims = x[at : at + 512] @ y.T
