@@ -100,5 +100,26 @@ from embeddings left join n on n.a = vec_id left join c on c.a = vec_id
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g on d.t = g.t
+""",
+    "op8_line_dedup": r"""
+with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as k, unnest(string_split(text, chr(10))) as line from documents),
+m as (select *, trim(regexp_replace(lower(line), '[ \t\x0B\f\r]+', ' ', 'g')) as n from l),
+u as (select n, min((doc_id, k)) as place from m where length(n) >= 16 group by n),
+v as (select n, place, hash(n) as h from u union all select n, place, unnest(list_transform(range(1, length(n) + 1), lambda i: hash(n[1:i - 1] || n[i + 1:]))) from u),
+near as (select distinct a.n from v a join v b on a.h = b.h and b.place < a.place where levenshtein(a.n, b.n) <= 1),
+x as (select m.*, coalesce(u.place <> (m.doc_id, m.k), false) or near.n is not null as gone from m left join u on m.n = u.n left join near on m.n = near.n),
+t as (select doc_id, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by k) filter (not gone), '') as t from x group by doc_id)
+select doc_id, n_removed, length(t) as n_chars_left, sha256(t) as text_sha256 from t
+""",
+    "op9_jaccard": r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') as w from documents),
+g as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 5 * c >= 4 * (x.n + y.n - c)),
+c as (select a, count(*) as k from l group by a),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+h as (select a, least(a, min(b)) as h from r group by a)
+select doc_id, coalesce(h, doc_id)::bigint as component_id, coalesce(k, 0)::bigint as n_links, doc_id = coalesce(h, doc_id) as kept from documents left join c on c.a = doc_id left join h on h.a = doc_id
 """,
 }
