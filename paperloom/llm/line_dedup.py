@@ -12,9 +12,10 @@ only ways to be one edit apart, so linking each variant's lines to the
 earliest of them finds every line that has to go. The few pairs are verified by
 the edit distance of their texts.
 
-Only lines that can have such a partner emit variants: an edit leaves the
-first or the second half of a line as it is, so lines whose halves occur in no
-other line are put aside first. Texts are moved only for the lines and the
+Only lines that can have such a partner emit variants. Cut in thirds, a line
+keeps two of them through an edit, and its length changes by one at most, so
+lines that share neither two thirds nor the length with another line are put
+aside first. Texts are moved only for the lines and the
 documents that a bitmap of bounded size says take part.
 
 Null text stays null. Documents with a null id are left alone. Rows with the
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import scratch
@@ -75,6 +76,24 @@ def lines_of(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
     return norm.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
 
 
+def kept_parts(norm: str) -> Column:
+    """Hashes of what one edit can leave of a line, so that two lines within one edit share one.
+
+    With L the longer one's length, an edit leaves the first two thirds, the
+    last two thirds, or the first and the last third. A line may be the longer
+    one or one shorter, so there are hashes for L and for L = length + 1.
+    """
+
+    def three(length: Column) -> list[Column]:
+        g = F.floor(length / 3).cast("int")
+        f = (length - g).cast("int")
+        left, right = lambda k: F.substring(norm, F.lit(1), k), lambda k: F.right(F.col(norm), k)
+        return [F.xxhash64(length, F.lit(0), left(f)), F.xxhash64(length, F.lit(1), right(f)), F.xxhash64(length, F.lit(2), left(g), right(g))]
+
+    n = F.length(norm)
+    return F.array(*three(n), *three(n + 1))
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 256):
@@ -87,10 +106,10 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_lines(lines: DataFrame, unique: DataFrame) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier one within one edit. ``unique``: h1, h2, first, halves."""
-    halves = unique.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    alive = maybe_in(halves, "half", key_bitmap(shared, "half")).where("maybe").drop("maybe").join(shared, "half", "left_semi").select("h1", "h2").distinct()
+    """(h1, h2) of the distinct lines that have an earlier one within one edit. ``unique``: h1, h2, first, parts."""
+    parts = unique.select("h1", "h2", F.explode("parts").alias("part"))
+    shared = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    alive = maybe_in(parts, "part", key_bitmap(shared, "part")).where("maybe").drop("maybe").join(shared, "part", "left_semi").select("h1", "h2").distinct()
     alive = unique.select("h1", "h2", "first").join(alive, ["h1", "h2"], "left_semi")
     alive, alive_path = scratch.stage(alive, "lines")
     # each distinct line's text from its first place
@@ -118,10 +137,7 @@ def near_lines(lines: DataFrame, unique: DataFrame) -> DataFrame:
 def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, gone): the numbers, from 0, of the lines of each document that repeat an earlier line; documents without any are left out."""
     lines = lines_of(df, doc_id, text, min_chars)
-    n = F.length("norm")
-    cut = [F.floor((n - 1) / 2).cast("int"), F.floor((n + 1) / 2).cast("int")]
-    halves = F.array(*[F.xxhash64(F.lit(k), c, F.substring("norm", F.lit(1), c) if k == 0 else F.right("norm", c)) for k in (0, 1) for c in cut])
-    unique = lines.withColumn("halves", halves).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    unique = lines.withColumn("parts", kept_parts("norm")).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"), F.first("parts").alias("parts"))
     unique, unique_path = scratch.stage(unique, "unique")
     near = near_lines(lines, unique).withColumn("near", F.lit(True))
     decided = unique.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
