@@ -47,7 +47,7 @@ def cluster_size_stats(sizes: DataFrame) -> DataFrame:
 
 
 def purity(assignments: DataFrame) -> DataFrame:
-    """cluster_id, size, dominant_class (of equals the smallest), purity."""
+    """cluster_id, size, dominant_class (of equals the smallest, never the first seen), purity."""
     return composition(assignments).where("is_dominant_class").select("cluster_id", F.col("total_cluster_size").alias("size"), F.col("class_id").alias("dominant_class"), (F.col("paper_count") / F.col("total_cluster_size")).alias("purity"))
 
 

@@ -40,7 +40,7 @@ Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
 
 def block_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block: int = BLOCK, id_col: str = "node_id") -> DataFrame:
-    """``kernel`` on every pair of a block of the left and one of the right rows, each pair once, in a task of its own."""
+    """U4: ``kernel`` on every pair of a block of the left and one of the right rows, each pair once, in a task of its own."""
     a, b = _blocks(left.count(), block), _blocks(right.count(), block)
     place = lambda df, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
     x = left.withColumn("_a", place(left, a)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import resource
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,3 +25,22 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def run_logger(name: str, path: str | None = None) -> logging.Logger:
+    """A logger to the console and, if named, a file; each line tells the driver's peak memory in MB."""
+    log = logging.getLogger(name)
+    log.setLevel(logging.INFO)
+    log.propagate = False
+    log.handlers.clear()
+
+    class Peak(logging.Filter):
+        def filter(self, record: logging.LogRecord) -> bool:
+            record.peak_mb = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+            return True
+
+    for handler in (logging.StreamHandler(), *([logging.FileHandler(path)] if path else [])):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s [%(peak_mb)d MB] %(message)s"))
+        handler.addFilter(Peak())
+        log.addHandler(handler)
+    return log
