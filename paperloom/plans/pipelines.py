@@ -64,12 +64,19 @@ def minibatch_citation(nodes: DataFrame, edges: DataFrame, n_clusters: int = 40,
     return relational.reconstruct_labels(labels, assigned, nodes)
 
 
+def _cited_features(edges: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
+    """(node_id, features): the citation view: spectral features of the graph among these nodes, rows of length one."""
+    matrix = scratch.staged(graph.citation_adjacency(relational.induced_edges(edges, nodes), "unit", nodes), "adjacency")
+    return scratch.staged(spectral.spectral_features(matrix, dims, True), "features")
+
+
 def multiview(emb: DataFrame, edges: DataFrame, n_clusters: int = 40, n_spectral_dims: int = 50, k_neighbors: int = 20, n_init: int = 10, random_state: int = 42) -> DataFrame:
     """§3.4: two-view clustering of text and citations over the nodes that both have."""
     ends = edges.select(F.col("source").alias("node_id")).union(edges.select("target")).distinct()
     both = emb.join(ends, "node_id", "left_semi")
     text = scratch.staged(similarity.knn_graph_summed(both, k_neighbors), "text")
-    cited = scratch.staged(graph.citation_adjacency(relational.induced_edges(edges, both), "unit", both), "cited")
+    features = _cited_features(edges, both, n_spectral_dims)
+    cited = scratch.staged(similarity.knn_graph_summed(features.withColumnRenamed("features", "embedding"), k_neighbors), "cited")
     return both.select("node_id", "class_idx").join(spectral.multiview_cluster(text, cited, n_clusters, n_init=n_init, seed=random_state), "node_id")
 
 
@@ -83,8 +90,8 @@ def minibatch_multiview(emb: DataFrame, edges: DataFrame, n_clusters: int = 40,
         sample = sampling.expand_sample(sample, edges, emb).drop("is_seed")
         rest = relational.without(emb, sample)
     sample, rest = scratch.staged(sample, "part"), scratch.staged(rest, "part")
-    cited = scratch.staged(graph.citation_adjacency(relational.induced_edges(edges, sample), "unit", sample), "cited")
-    features = scratch.staged(spectral.spectral_features(cited, n_spectral_dims, True), "features")
+    features = _cited_features(edges, sample, n_spectral_dims)
+    cited = scratch.staged(similarity.knn_graph_summed(features.withColumnRenamed("features", "embedding"), graph_k), "cited")
     text = scratch.staged(similarity.knn_graph_summed(sample, graph_k), "text")
     labels = scratch.staged(spectral.multiview_cluster(text, cited, n_clusters, n_init=n_init, seed=random_state), "labels")
     rows = sample.select("node_id", unit("embedding").alias("embedding")).join(labels, "node_id").join(features, "node_id")

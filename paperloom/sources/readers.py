@@ -94,7 +94,9 @@ def read_label_map(spark: SparkSession, path: str | None = None, classes: int =
         return spark.range(classes).select(F.col("id").cast("int").alias("class_id"), F.concat(F.lit("category_"), "id").alias("category"))
     df = read_csv(spark, path)
     name = resolve_column(df, ["arxiv category", "category", "label", "name"]) or df.columns[-1]
-    rows = [r[0] for r in df.select(F.col(f"`{name}`").cast("string")).collect()]  # a label map has some dozen rows
+    rows = [r[0] for r in df.select(F.col(f"`{name}`").cast("string")).limit(10_001).collect()]
+    if len(rows) > 10_000:
+        raise ValueError(f"{path}: a label map has at most 10,000 rows")
     return spark.createDataFrame([(i, c) for i, c in enumerate(rows)], "class_id int, category string")
 
 
