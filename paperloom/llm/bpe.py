@@ -104,9 +104,16 @@ class Codec:
             parts = list(self.pool.map(self.join, parts[::2], parts[1::2]))
         return parts[0]
 
+    def may_run(self, text: str) -> bool:
+        """Whether a long run is possible: a cheap test by word lengths, as direct encoding is right in any case."""
+        if len(text) < self.long:
+            return False
+        lengths = list(map(len, text.split()))
+        return max(lengths, default=0) >= self.long or len(text) - sum(lengths) - len(lengths) >= self.long - 1
+
     def encode(self, text: str) -> list[int]:
         """As the tokenizers library: strings of special tokens in the text become their ids."""
-        if len(text) < self.long or not self.runs.search(text):
+        if not self.may_run(text) or not self.runs.search(text):
             return self.core.encode(text, allowed_special="all")
         out: list[int] = []
         for part in regex.split(f"({self.whole})", text) if self.whole else [text]:
