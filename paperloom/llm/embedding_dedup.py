@@ -9,7 +9,8 @@ its error is bounded, at ``error`` standard deviations, by sqrt((1 - f^2) /
 are dropped; all others are computed exactly in double precision, so no pair
 below the threshold is linked.
 
-Candidates share a bucket: the signs under further rotations, ``bits`` at a
+Equal vectors of a label form a class, and one of each class goes on with their
+number as its weight, so copies are never compared. Candidates share a bucket: the signs under further rotations, ``bits`` at a
 time, in so many tables that a pair at the threshold meets with the chance
 ``recall``. ``bits`` grows with the logarithm of the number of vectors, so
 buckets stay small. A bucket of more than ``block`` rows (a large group of
@@ -87,7 +88,7 @@ def encode_vectors(df: DataFrame, vec_id: str, vector: str, label: str, bits: in
 
 
 def block_links(rows: list[dict], threshold: float, error: float, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each row, smallest row number linked with it over any path) within a block.
+    """(links of each row, counting copies, smallest row number linked with it over any path) within a block.
 
     Rows of the same ``chunk`` are compared with each other if the block holds
     one chunk, otherwise those of one chunk with those of the other.
@@ -103,6 +104,7 @@ def block_links(rows: list[dict], threshold: float, error: float, counts: dict[s
     factor = np.array([r["factor"] for r in rows])
     bound = error * np.sqrt(np.maximum(0, 1 - factor**2) / (factor**2 * max(1, d - 1)))
     codes = ((signs * 2.0 - 1) / math.sqrt(d) / factor[:, None]).astype(np.float32)
+    weight = np.array([r["copies"] for r in rows])
     links, root = np.zeros(n, np.int64), np.arange(n)
 
     def find(i: int) -> int:
@@ -129,8 +131,8 @@ def block_links(rows: list[dict], threshold: float, error: float, counts: dict[s
             if table:  # an earlier table has counted the pair
                 new = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
                 a, b = a[new], b[new]
-            np.add.at(links, a, 1)
-            np.add.at(links, b, 1)
+            np.add.at(links, a, weight[b])
+            np.add.at(links, b, weight[a])
             for p, q in zip(a.tolist(), b.tolist(), strict=True):
                 p, q = find(p), find(q)
                 if p != q:
@@ -166,7 +168,13 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id",
     if vectors.groupBy(vec_id).count().where("count > 1").limit(1).count():
         vectors = vectors.groupBy(vec_id).agg(F.min(F.struct(label, vector)).alias("_least")).select(vec_id, F.col(f"_least.{label}").alias(label), F.col(f"_least.{vector}").alias(vector))
     coded, coded_path = scratch.stage(encode_vectors(vectors, vec_id, vector, label, bits, tables, seed), "codes")
-    slim = coded.select("vec_id", "label", F.posexplode("keys").alias("table", "key"))
+    named = coded.select("vec_id", "label", F.xxhash64("unit").alias("a"), F.xxhash64(F.lit(7), "unit").alias("b"))
+    classes = named.groupBy("label", "a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    copied = classes.where("copies > 1").limit(1).count() > 0
+    one, one_path = coded.withColumn("copies", F.lit(1).cast("long")), None
+    if copied:
+        one, one_path = scratch.stage(coded.join(classes.select(F.col("rep").alias("vec_id"), "copies"), "vec_id"), "classes")
+    slim = one.select("vec_id", "label", F.posexplode("keys").alias("table", "key"))
     sizes = slim.groupBy("label", "table", "key").agg(F.count("*").alias("size")).where("size > 1")
     sizes, sizes_path = scratch.stage(sizes, "buckets")
     # a bucket of one row has no pairs; the others say into how many chunks they are split
@@ -174,8 +182,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id",
     chunk = F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")
     spread = wide.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = spread.select("vec_id", "label", "table", "key", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk")
-    full = placed.join(coded.select("vec_id", F.col("label").alias("_label"), "unit", "code", "factor", "keys"), "vec_id").where("label = _label").drop("_label")
-    dealt = full.select("label", "table", "key", "one", "two", "chunk", "vec_id", "unit", "code", "factor", "keys").repartition("label", "table", "key", "one", "two").sortWithinPartitions("label", "table", "key", "one", "two", "chunk", "vec_id")
+    full = placed.join(one.select("vec_id", F.col("label").alias("_label"), "unit", "code", "factor", "keys", "copies"), "vec_id").where("label = _label").drop("_label")
+    dealt = full.select("label", "table", "key", "one", "two", "chunk", "vec_id", "unit", "code", "factor", "keys", "copies").repartition("label", "table", "key", "one", "two").sortWithinPartitions("label", "table", "key", "one", "two", "chunk", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -192,9 +200,13 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id",
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["vec_id", "root", "links"])
 
     found, found_path = scratch.stage(dealt.mapInArrow(run, f"vec_id {id_type}, root {id_type}, links bigint"), "links")
-    for path in (coded_path, sizes_path):
-        scratch.drop(spark, path)
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     groups = connected_components(found, "vec_id", "root").withColumnsRenamed({"node": "vec_id", "component": "component_id"})
     linked = counts.join(groups, "vec_id")
+    if copied:
+        rows = named.join(classes, ["label", "a", "b"]).select("vec_id", "rep", "copies").join(linked.withColumnRenamed("vec_id", "rep"), "rep", "left")
+        linked, _ = scratch.stage(rows.select("vec_id", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "linked")
+        scratch.drop(spark, one_path)
+    for path in (coded_path, sizes_path):
+        scratch.drop(spark, path)
     return df.select(F.col(vec_id).alias("vec_id")).join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

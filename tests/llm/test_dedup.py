@@ -169,6 +169,7 @@ def test_vectors_equal_brute_force(spark):
             rows.append((len(rows), (base + rng.standard_normal(32) * rng.choice([0.02, 0.1, 0.3])).tolist(), int(g % 4)))
     hot = rng.standard_normal(32)
     rows += [(1000 + i, (hot + rng.standard_normal(32) * 0.05).tolist(), 7) for i in range(80)]
+    rows += [(3000 + i, rows[-1][1], 7) for i in range(50)]  # copies
     odd = [(2000, None, 1), (2001, [0.0] * 32, 1), (2002, [float("nan")] * 32, 1), (2003, [None] + [1.0] * 31, 1), (2004, rows[0][1], None), (2005, [], 1), (2006, [1.0, 2.0], 1), (2007, [2.0, 4.0], 1), (2008, [float("inf")] * 32, 1)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int").withColumn("size", F.lit(1)).repartition(3)
     x = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in rows}
