@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators.sampling import rank_by_hash
 from paperloom.operators.similarity import BLOCK, _matrix, block_pairs
 
 
@@ -91,10 +92,9 @@ def proportional_sample(df: DataFrame, size: int = 2000, seed: int = 42) -> Data
     n = df.count()
     if n <= size:
         return df
-    w = Window.partitionBy("cluster_id")
-    order = F.md5(F.concat(F.col("node_id").cast("string"), F.lit(f":{seed}")))
-    ranked = df.withColumns({"_rank": F.row_number().over(w.orderBy(order, "node_id")), "_n": F.count("*").over(w)})
-    return ranked.where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * size / n))).drop("_rank", "_n")
+    sizes = df.groupBy("cluster_id").agg(F.count("*").alias("_n"))
+    ranked = rank_by_hash(df, "cluster_id", seed).join(sizes, "cluster_id")
+    return ranked.where(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * size / n))).select(*df.columns)
 
 
 def silhouette_sampled(df: DataFrame, size: int = 2000, seed: int = 42, above: int = 10_000) -> DataFrame:

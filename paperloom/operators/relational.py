@@ -166,13 +166,20 @@ def bridge_ids(edges: DataFrame, nodes: DataFrame, embeddings: DataFrame) -> Dat
 def match_titles(left: DataFrame, right: DataFrame, more_than: float = 0.5, per_title: int = 3) -> DataFrame:
     """Pairs (left_id, right_id, overlap) of (id, title) frames whose cleaned titles share more than this share of the left one's words; the ``per_title`` best.
 
-    Candidates meet on words, and the overlap is counted from the joined words,
-    so titles without a common word are never compared.
+    Overlapping by more than the share takes one of the left title's rarer words
+    (all but that share of them, by rarity), so only those are joined on, and
+    words that most titles have bring no candidates together.
     """
-    words = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.array_distinct(F.filter(F.split(F.lower(clean_latex("title")), r"\s+"), lambda t: t != "")).alias("w"))
-    a, b = words(left, "left").withColumn("size", F.size("w")), words(right, "right")
-    pairs = a.select("left_id", "size", F.explode("w").alias("word")).join(b.select("right_id", F.explode("w").alias("word")), "word")
-    shared = pairs.groupBy("left_id", "right_id", "size").agg(F.count("*").alias("n")).select("left_id", "right_id", (F.col("n") / F.col("size")).alias("overlap")).where(F.col("overlap") > more_than)
+    words = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.array_distinct(F.filter(F.split(F.lower(clean_latex("title")), r"\s+"), lambda t: t != "")).alias(f"{n}_words"))
+    a, b = words(left, "left"), words(right, "right")
+    spread = b.select("right_id", "right_words", F.explode("right_words").alias("word"))
+    often = spread.groupBy("word").agg(F.count("*").alias("n"))
+    by_rarity = a.select("left_id", "left_words", F.explode("left_words").alias("word")).join(often, "word", "left")
+    rare = by_rarity.groupBy("left_id", "left_words").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("w"))
+    size = F.size("w")
+    probe = rare.select("left_id", "left_words", F.explode(F.slice("w", F.lit(1), (size - F.floor(size * more_than)).cast("int"))).alias("p")).select("left_id", "left_words", F.col("p.word").alias("word"))
+    overlap = F.size(F.array_intersect("left_words", "right_words")) / F.size("left_words")
+    shared = probe.join(spread, "word").select("left_id", "right_id", overlap.alias("overlap")).where(F.col("overlap") > more_than).distinct()
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("overlap"), "right_id"))
     return shared.withColumn("rank", rank).where(F.col("rank") <= per_title).select("left_id", "right_id", "overlap")
 
