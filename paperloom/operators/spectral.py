@@ -9,6 +9,7 @@ a block of vectors, which is one join and one aggregation a step.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -40,17 +41,32 @@ def _iterate(lap: DataFrame, k: int, steps: int, seed: int, tol: float) -> tuple
     """Orthogonal iteration with 2I - L: (eigenvalues, (node_id, v)). Only k x k Gram matrices reach the driver."""
     spark = lap.sparkSession
     p = k + 4
-    rand = F.array(*[F.rand(seed + c) * 0 + (F.pmod(F.xxhash64("i", F.lit(seed + c)), F.lit(2000003)) / 1000001.5 - 1) for c in range(p)])
-    v, path = scratch.stage(lap.select("i").distinct().select("i", rand.alias("v")), "vectors")
+    rand = F.array(*[(F.pmod(F.xxhash64("i", F.lit(seed + c)), F.lit(2000003)) / 1000001.5 - 1) for c in range(p)])  # repeatable
+    v, path = scratch.stage(lap.select(F.col("i").cast("long").alias("i")).distinct().select("i", rand.alias("v")), "vectors")
     old = None
 
     def gram(x: DataFrame, a: str, b: str) -> np.ndarray:
-        cells = [F.sum(F.get(a, F.lit(r)) * F.get(b, F.lit(c))).alias(f"g{r}_{c}") for r in range(p) for c in range(p)]
-        return np.array(x.agg(*cells).first(), dtype=float).reshape(p, p)
+        def run(batches):
+            total = np.zeros((p, p))
+            for t in batches:
+                left, right = (np.array(t.column(c).to_pylist(), dtype=float).reshape(-1, p) for c in (a, b))
+                total += left.T @ right
+            yield pa.RecordBatch.from_pydict({"cell": np.arange(p * p), "x": total.ravel()})
+
+        cells = x.select(a, b if b != a else F.col(a).alias("same")).toDF("a", "b").select("a", "b")
+        a, b = "a", "b"
+        sums = cells.mapInArrow(run, "cell bigint, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+        out = np.zeros(p * p)
+        out[sums.column("cell").to_numpy()] = sums.column("x").to_numpy()
+        return out.reshape(p, p)
 
     def times(x: DataFrame, m: np.ndarray) -> DataFrame:
-        rows = [sum((F.get("v", F.lit(r)) * float(m[r, c]) for r in range(1, p)), F.get("v", F.lit(0)) * float(m[0, c])) for c in range(m.shape[1])]
-        return x.select("i", F.array(*rows).alias("v"))
+        def run(batches):
+            for t in batches:
+                v = np.array(t.column("v").to_pylist(), dtype=float).reshape(-1, p) @ m
+                yield pa.RecordBatch.from_arrays([t.column("i"), pa.array(list(v), pa.list_(pa.float64()))], names=["i", "v"])
+
+        return x.select("i", "v").mapInArrow(run, "i bigint, v array<double>")
 
     values = np.zeros(p)
     for _ in range(steps):
@@ -77,8 +93,6 @@ def eigenpairs(matrix: DataFrame, k: int, dense: int = DENSE, steps: int = 200,
     k = min(k, n)
     if n <= dense:
         ids, values, vectors = _dense(lap)
-        import pyarrow as pa
-
         rows = pa.table({"node_id": pa.array(ids, pa.int64()), "v": pa.array(list(vectors[:, :k]), pa.list_(pa.float64()))})
         return values[:k].tolist(), lap.sparkSession.createDataFrame(rows)
     values, rows = _iterate(lap, k, steps, seed, tol)
@@ -149,8 +163,6 @@ def multiview_cluster(first: DataFrame, second: DataFrame, k: int, rounds: int =
     x = np.concatenate(tops, axis=1)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-    import pyarrow as pa
-
     rows = first.sparkSession.createDataFrame(pa.table({"node_id": pa.array(order, pa.int64()), "features": pa.array(list(x), pa.list_(pa.float64()))}))
     return kmeans(rows, min(k, len(order)), n_init=n_init, seed=seed)
 
