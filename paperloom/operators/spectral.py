@@ -99,16 +99,54 @@ def eigenpairs(matrix: DataFrame, k: int, dense: int = DENSE, steps: int = 200,
     return values.tolist(), rows
 
 
-def kmeans(rows: DataFrame, k: int, vector: str = "features", n_init: int = 10, max_iter: int = 300, seed: int = 42) -> DataFrame:
-    """(node_id, cluster_id): the best of ``n_init`` k-means runs by cost."""
-    data = rows.select("node_id", array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("x"))
-    data = scratch.staged(data, "points")
+def _lloyd(x: np.ndarray, k: int, n_init: int, max_iter: int, seed: int) -> np.ndarray:
+    """k-means++ starts and Lloyd's steps; the labels of the cheapest of ``n_init`` runs."""
+    best, cost = np.zeros(len(x), int), np.inf
+    sq = (x**2).sum(1)
+    for run in range(n_init):
+        rng = np.random.default_rng(seed + run)
+        centres = x[[rng.integers(len(x))]]
+        near = ((x - centres[0]) ** 2).sum(1)
+        while len(centres) < k:
+            total = near.sum()
+            pick = rng.integers(len(x)) if total <= 0 else int(np.searchsorted(np.cumsum(near), rng.random() * total))
+            centres = np.vstack([centres, x[min(pick, len(x) - 1)]])
+            near = np.minimum(near, ((x - centres[-1]) ** 2).sum(1))
+        labels = None
+        for _ in range(max_iter):
+            d = sq[:, None] + (centres**2).sum(1)[None, :] - 2 * x @ centres.T
+            new = d.argmin(1)
+            if labels is not None and (new == labels).all():
+                break
+            labels = new
+            sums, counts = np.zeros_like(centres), np.bincount(labels, minlength=k)
+            np.add.at(sums, labels, x)
+            centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+        now = np.maximum(d[np.arange(len(x)), new], 0).sum()
+        if now < cost:
+            best, cost = new, now
+    return best
+
+
+def kmeans(rows: DataFrame, k: int, vector: str = "features", n_init: int = 10, max_iter: int = 300, seed: int = 42, dense: int = DENSE) -> DataFrame:
+    """(node_id, cluster_id): the best of ``n_init`` k-means runs by cost. Up to ``dense`` rows (counted first) run in memory, more as distributed k-means."""
+    points = rows.select(F.col("node_id").cast("long").alias("node_id"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
+    points = scratch.staged(points, "points")
+    n = points.count()
+    if n <= dense:
+        t = points.toArrow()
+        order = np.argsort(t.column("node_id").to_numpy())
+        ids, x = t.column("node_id").to_numpy()[order], np.array(t.column("x").to_pylist(), dtype=float)[order]
+        labels = _lloyd(x, min(k, n), n_init, max_iter, seed) if n else np.zeros(0, int)
+        return rows.sparkSession.createDataFrame(pa.table({"node_id": pa.array(ids, pa.int64()), "cluster_id": pa.array(labels.astype(np.int32))}))
+    data = points.select("node_id", array_to_vector("x").alias("x")).cache()
     best = None
     for i in range(n_init):
         m = KMeans(k=k, featuresCol="x", maxIter=max_iter, seed=seed + i, predictionCol="cluster_id").fit(data)
         if best is None or m.summary.trainingCost < best.summary.trainingCost:
             best = m
-    return best.transform(data).select("node_id", "cluster_id")
+    data.unpersist()
+    return best.transform(points.select("node_id", array_to_vector("x").alias("x"))).select("node_id", "cluster_id")
 
 
 def spectral_features(matrix: DataFrame, dims: int = 50, normalise: bool = False) -> DataFrame:
@@ -128,7 +166,7 @@ def spectral_cluster(matrix: DataFrame, k: int, row_normalise: bool = False, n_i
     else:
         d = degrees(matrix).select(F.col("i").alias("node_id"), "degree")
         features = rows.join(d, "node_id").select("node_id", F.transform("v", lambda x: x / F.sqrt(F.abs("degree"))).alias("features"))
-    return kmeans(features, min(k, features.count()), n_init=n_init, seed=seed)
+    return kmeans(features, k, n_init=n_init, seed=seed)
 
 
 def multiview_cluster(first: DataFrame, second: DataFrame, k: int, rounds: int = 3, n_init: int = 10, seed: int = 42) -> DataFrame:
@@ -164,7 +202,7 @@ def multiview_cluster(first: DataFrame, second: DataFrame, k: int, rounds: int =
     n = np.linalg.norm(x, axis=1, keepdims=True)
     x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
     rows = first.sparkSession.createDataFrame(pa.table({"node_id": pa.array(order, pa.int64()), "features": pa.array(list(x), pa.list_(pa.float64()))}))
-    return kmeans(rows, min(k, len(order)), n_init=n_init, seed=seed)
+    return kmeans(rows, k, n_init=n_init, seed=seed)
 
 
 def eigen_gaps(values: DataFrame, max_k: int | None = None) -> DataFrame:

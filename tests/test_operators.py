@@ -147,6 +147,8 @@ def test_spectral_clustering_finds_blobs(spark):
     emb = vectors(spark, x).withColumn("class_idx", (F.col("node_id") / 15).cast("int"))
     assert me.adjusted_rand(pl.spectral_embeddings(emb, 3, k_neighbors=5, n_init=2)).first().ari == 1.0
     assert me.adjusted_rand(pl.kmeans_embeddings(emb, 3, n_init=2)).first().ari == 1.0
+    spread = emb.select("class_idx", "node_id").join(sp.kmeans(emb, 3, "embedding", n_init=2, dense=0), "node_id")
+    assert me.adjusted_rand(spread).first().ari == 1.0
 
 
 def test_gaps_with_several_zero_eigenvalues(spark):
