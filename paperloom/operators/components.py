@@ -15,9 +15,10 @@ from paperloom import scratch
 
 def _stars(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # dealt out anew: a join whose both sides are shuffled for it can be split where a hub's edges meet
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u", "m")
     large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u", "m")
     linked = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
     return linked.select("e.u", "e.v").where("u <> v").distinct()
 
