@@ -15,7 +15,9 @@ the edit distance of their texts.
 Only lines that can have such a partner emit variants. Cut in thirds, a line
 keeps two of them through an edit, and its length changes by one at most, so
 lines that share neither two thirds nor the length with another line are put
-aside first. Texts are moved only for the lines and the
+aside first. The others are cut into ``BLOCKS`` blocks, and only those that
+share all but one block with another line go on, with the deletions in that
+block alone. Texts are moved only for the lines and the
 documents that a bitmap of bounded size says take part.
 
 Null text stays null. Documents with a null id are left alone. Rows with the
@@ -25,7 +27,7 @@ that repeats itself go as well. A document may end with an empty text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +38,28 @@ from paperloom import scratch
 from paperloom.llm.shared import key_bitmap, maybe_in
 
 MIN_CHARS = 16
+BLOCKS = 16
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = np.uint64(pow(_R, -1, 1 << 64))
-_powers = np.ones(1, np.uint64)
+_tables = {_R: np.ones(1, np.uint64), int(_INVERSE): np.ones(1, np.uint64)}
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    """Powers 0 .. n - 1 of a base modulo 2^64, kept and doubled as needed."""
+    t = _tables[base]
+    while len(t) < n:
+        t = np.concatenate([t, t * np.uint64(pow(base, len(t), 1 << 64))])
+    _tables[base] = t
+    return t[:n]
 
 
 def _power(n: int) -> np.ndarray:
-    global _powers
-    while len(_powers) < n:
-        step = np.uint64(pow(_R, len(_powers), 1 << 64))
-        _powers = np.concatenate([_powers, _powers * step])
-    return _powers[:n]
+    return _table(_R, n)
+
+
+def _inverse_power(at: np.ndarray) -> np.ndarray:
+    return _table(int(_INVERSE), int(at.max(initial=0)) + 1)[at]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,23 +68,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Hashes:
+    """Hashes of a line without any one stretch, from its prefix sums."""
+
+    def __init__(self, line: str):
+        c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.n = len(c)
+        with np.errstate(over="ignore"):
+            self.before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(c + np.uint64(1)) * _power(self.n), dtype=np.uint64)])
+
+    def whole(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mix(self.before[-1:] + _mix(np.full(1, self.n, np.uint64))).view(np.int64)
+
+    def without(self, place: np.ndarray) -> np.ndarray:
+        """The hash of the line without the character at each place; equal to ``whole`` of that line."""
+        with np.errstate(over="ignore"):
+            gone = self.before[place] + (self.before[-1] - self.before[place + 1]) * _INVERSE
+            return _mix(gone + _mix(np.full(len(place), self.n - 1, np.uint64))).view(np.int64)
+
+    def around(self, longer: int) -> np.ndarray:
+        """For each block of a line ``longer`` characters longer: the hash of what stands before and after it."""
+        length = self.n + longer
+        cut = length * np.arange(BLOCKS + 1) // BLOCKS
+        left, right = cut[:-1], length - cut[1:]
+        with np.errstate(over="ignore"):
+            tail = (self.before[-1] - self.before[self.n - right]) * _inverse_power(self.n - right)
+            key = _mix(self.before[left] + np.uint64(length)) + _mix(tail + np.arange(BLOCKS, dtype=np.uint64))
+            return _mix(key).view(np.int64)
+
+
 def neighbourhood(line: str) -> np.ndarray:
     """Hashes of the line itself and of each of its deletions, in the order of the place deleted."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    c = _mix(c + np.uint64(1))
-    with np.errstate(over="ignore"):
-        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * _power(len(c)), dtype=np.uint64)])
-        whole = before[-1]
-        gone = before[:-1] + (whole - before[1:]) * _INVERSE
-        lengths = np.full(len(c) + 1, len(c) - 1, np.uint64)
-        lengths[0] += np.uint64(1)
-        return _mix(np.concatenate([whole[None], gone]) + _mix(lengths)).view(np.int64)
+    h = Hashes(line)
+    return np.concatenate([h.whole(), h.without(np.arange(h.n))])
 
 
 def lines_of(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """(doc, line_no, norm, h1, h2) of each line that is compared."""
-    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line"))
-    norm = rows.select("doc", "line_no", F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")).alias("norm")).where(F.length("norm") >= min_chars)
+    # only runs and odd blanks are replaced, so most texts are merely searched
+    plain = F.regexp_replace(F.lower(F.col(text).cast("string")), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
+    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
+    norm = rows.select("doc", "line_no", F.trim("line").alias("norm")).where(F.length("norm") >= min_chars)
     return norm.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
 
 
@@ -94,31 +131,59 @@ def kept_parts(norm: str) -> Column:
     return F.array(*three(n), *three(n + 1))
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], make: Callable[[dict], list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows that ``make`` gives for each row, beside its h1 and h2."""
     for b in batches:
-        for i in range(0, b.num_rows, 256):
-            part = b.slice(i, 256)
-            keys = [neighbourhood(x) for x in part.column(part.schema.get_field_index("norm")).to_pylist()]
-            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            place = np.concatenate([np.arange(-1, len(k) - 1) for k in keys]) if keys else np.zeros(0)
-            take = part.select([c for c in part.schema.names if c != "norm"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(place.astype(np.int32))], names=[*take.schema.names, "variant", "place"])
+        for i in range(0, b.num_rows, 512):
+            part = b.slice(i, 512)
+            made = [make(r) for r in part.to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]))
+            yield pa.RecordBatch.from_arrays([*part.select(["h1", "h2"]).take(at).columns, *[pa.array(np.concatenate(c)) for c in zip(*made, strict=True)]], names=["h1", "h2", *names])
+
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = np.arange(BLOCKS, dtype=np.int32)
 
-def near_lines(lines: DataFrame, unique: DataFrame) -> DataFrame:
-    """(h1, h2) of the distinct lines that have an earlier one within one edit. ``unique``: h1, h2, first, parts."""
+    def make(r: dict) -> list[np.ndarray]:
+        h = Hashes(r["norm"])
+        return [np.repeat(np.array([0, 1], np.int32), BLOCKS), np.concatenate([block, block]), np.concatenate([h.around(0), h.around(1)])]
+
+    yield from _rows(batches, make, ["longer", "block", "key"])
+
+
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(r: dict) -> list[np.ndarray]:
+        h = Hashes(r["norm"])
+        spans = [np.arange(h.n * o["block"] // BLOCKS, h.n * (o["block"] + 1) // BLOCKS) for o in r["open"] if not o["longer"]]
+        place = np.unique(np.concatenate([*spans, np.zeros(0, np.int64)])).astype(np.int64)
+        own = h.whole() if any(o["longer"] for o in r["open"]) else np.zeros(0, np.int64)
+        return [np.concatenate([own, h.without(place)]), np.concatenate([np.full(len(own), -1), place]).astype(np.int32)]
+
+    yield from _rows(batches, make, ["variant", "place"])
+
+
+def near_lines(lines: Callable[[DataFrame], DataFrame], unique: DataFrame) -> DataFrame:
+    """(h1, h2) of the distinct lines that have an earlier one within one edit.
+
+    ``lines`` gives the lines of the documents that a bitmap of hashed ids
+    names; ``unique``: h1, h2, first, parts.
+    """
     parts = unique.select("h1", "h2", F.explode("parts").alias("part"))
     shared = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
     alive = maybe_in(parts, "part", key_bitmap(shared, "part")).where("maybe").drop("maybe").join(shared, "part", "left_semi").select("h1", "h2").distinct()
     alive = unique.select("h1", "h2", "first").join(alive, ["h1", "h2"], "left_semi")
     alive, alive_path = scratch.stage(alive, "lines")
     # each distinct line's text from its first place
-    found = maybe_in(lines, "h1", key_bitmap(alive, "h1")).where("maybe").select(F.col("doc"), "line_no", "norm")
+    found = lines(key_bitmap(alive.select(F.xxhash64("first.doc").alias("key")), "key")).select("doc", "line_no", "norm")
     texts = alive.select("h1", "h2", "first", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")).join(found, ["doc", "line_no"]).select("h1", "h2", "first", "norm").dropDuplicates(["h1", "h2"])
     texts, texts_path = scratch.stage(texts, "texts")
-    kind = texts.schema["first"].dataType.simpleString()
-    variants = texts.mapInArrow(_variants, f"h1 bigint, h2 bigint, first {kind}, variant bigint, place int")
-    variants, variants_path = scratch.stage(variants, "variants")
+    blocks, blocks_path = scratch.stage(texts.select("h1", "h2", "norm").mapInArrow(_blocks, "h1 bigint, h2 bigint, longer int, block int, key bigint"), "blocks")
+    shared = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    going = maybe_in(blocks, "key", key_bitmap(shared, "key")).where("maybe").join(shared, "key", "left_semi")
+    opened = going.groupBy("h1", "h2").agg(F.collect_set(F.struct("longer", "block")).alias("open"))  # at most 2 BLOCKS
+    made = texts.select("h1", "h2", "norm").join(opened, ["h1", "h2"]).mapInArrow(_variants, "h1 bigint, h2 bigint, variant bigint, place int")
+    variants, variants_path = scratch.stage(made.join(texts.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
+    scratch.drop(unique.sparkSession, blocks_path)
     own = variants.where("place < 0").select("variant", *[F.col(c).alias(f"e_{c}") for c in ("h1", "h2", "first")])
     deleted = variants.where("place >= 0")
     inserted = deleted.join(own, "variant")
@@ -130,26 +195,34 @@ def near_lines(lines: DataFrame, unique: DataFrame) -> DataFrame:
     near = pairs.join(a, ["h1", "h2"]).join(b, ["e_h1", "e_h2"]).where(F.levenshtein("norm", "e_norm", 1) >= 0).select("h1", "h2").distinct()
     near, _ = scratch.stage(near, "near")
     for path in (alive_path, texts_path, variants_path):
-        scratch.drop(lines.sparkSession, path)
+        scratch.drop(unique.sparkSession, path)
     return near
 
 
 def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, gone): the numbers, from 0, of the lines of each document that repeat an earlier line; documents without any are left out."""
-    lines = lines_of(df, doc_id, text, min_chars)
-    unique = lines.withColumn("parts", kept_parts("norm")).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"), F.first("parts").alias("parts"))
+    lines = lines_of(df, doc_id, text, min_chars).withColumn("parts", kept_parts("norm"))
+    lines, lines_path = scratch.stage(lines.select("doc", "line_no", "h1", "h2", "parts"), "marked")
+    unique = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"), F.first("parts").alias("parts"))
     unique, unique_path = scratch.stage(unique, "unique")
-    near = near_lines(lines, unique).withColumn("near", F.lit(True))
+
+    def of_documents(bitmap: DataFrame) -> DataFrame:
+        asked = maybe_in(df.withColumn("_key", F.xxhash64(F.col(doc_id))), "_key", bitmap)
+        return lines_of(asked.where("maybe"), doc_id, text, min_chars)
+
+    near = near_lines(of_documents, unique).withColumn("near", F.lit(True))
     decided = unique.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     decided, _ = scratch.stage(decided, "decided")
     scratch.drop(df.sparkSession, unique_path)
-    placed = maybe_in(lines.drop("norm"), "h1", key_bitmap(decided, "h1")).where("maybe").drop("maybe").join(decided, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") != F.col("first")))
-    return placed.groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    placed = maybe_in(lines.drop("parts"), "h1", key_bitmap(decided, "h1")).where("maybe").drop("maybe").join(decided, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") != F.col("first")))
+    gone, _ = scratch.stage(placed.groupBy("doc").agg(F.collect_set("line_no").alias("gone")), "gone")
+    scratch.drop(df.sparkSession, lines_path)
+    return gone
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, count: str | None = None) -> DataFrame:
     """``df`` with the repeated lines taken out of ``text``; ``count``, if named, gets the number of lines that went."""
-    gone, _ = scratch.stage(repeated_lines(df, doc_id, text, min_chars), "gone")
+    gone = repeated_lines(df, doc_id, text, min_chars)
     key = F.xxhash64(F.col(doc_id))
     gone = gone.withColumn("_key", F.xxhash64("doc"))
     # documents without such a line are never moved
