@@ -20,6 +20,10 @@ share all but one block with another line go on, with the deletions in that
 block alone. Texts are moved only for the lines and the
 documents that a bitmap of bounded size says take part.
 
+The most frequent lines (boilerplate), a list of bounded size, are dropped where
+documents are read, so that neither they nor the documents that hold no other
+repeated line are moved.
+
 Null text stays null. Documents with a null id are left alone. Rows with the
 same id count as one document. Ties cannot occur otherwise. Lines in a document
 that repeats itself go as well. A document may end with an empty text.
@@ -39,6 +43,8 @@ from paperloom.llm.shared import key_bitmap, maybe_in
 
 MIN_CHARS = 16
 BLOCKS = 16
+#: Hot lines: at most so many, occurring so often at least, of so many characters at most.
+HOT, HOT_LEAST, HOT_CHARS = 256, 50, 2000
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = np.uint64(pow(_R, -1, 1 << 64))
@@ -105,12 +111,11 @@ def neighbourhood(line: str) -> np.ndarray:
 
 
 def lines_of(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(doc, line_no, norm, h1, h2) of each line that is compared."""
-    # only runs and odd blanks are replaced, so most texts are merely searched
-    plain = F.regexp_replace(F.lower(F.col(text).cast("string")), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
-    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(plain, "\n")).alias("line_no", "line"))
-    norm = rows.select("doc", "line_no", F.trim("line").alias("norm")).where(F.length("norm") >= min_chars)
-    return norm.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
+    """(doc, line_no, line, norm, h1, h2) of each line that is compared."""
+    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line"))
+    # only runs and odd blanks are replaced, so most lines are merely searched
+    norm = F.trim(F.regexp_replace(F.lower("line"), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "))
+    return rows.withColumn("norm", norm).where(F.length("norm") >= min_chars).withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
 
 
 def kept_parts(norm: str) -> Column:
@@ -174,7 +179,8 @@ def near_lines(lines: Callable[[DataFrame], DataFrame], unique: DataFrame) -> Da
     alive = unique.select("h1", "h2", "first").join(alive, ["h1", "h2"], "left_semi")
     alive, alive_path = scratch.stage(alive, "lines")
     # each distinct line's text from its first place
-    found = lines(key_bitmap(alive.select(F.xxhash64("first.doc").alias("key")), "key")).select("doc", "line_no", "norm")
+    found = lines(key_bitmap(alive.select(F.xxhash64("first.doc").alias("key")), "key"))
+    found = maybe_in(found, "h1", key_bitmap(alive, "h1")).where("maybe").select("doc", "line_no", "norm")
     texts = alive.select("h1", "h2", "first", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")).join(found, ["doc", "line_no"]).select("h1", "h2", "first", "norm").dropDuplicates(["h1", "h2"])
     texts, texts_path = scratch.stage(texts, "texts")
     blocks, blocks_path = scratch.stage(texts.select("h1", "h2", "norm").mapInArrow(_blocks, "h1 bigint, h2 bigint, longer int, block int, key bigint"), "blocks")
@@ -199,11 +205,30 @@ def near_lines(lines: Callable[[DataFrame], DataFrame], unique: DataFrame) -> Da
     return near
 
 
-def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, gone): the numbers, from 0, of the lines of each document that repeat an earlier line; documents without any are left out."""
-    lines = lines_of(df, doc_id, text, min_chars).withColumn("parts", kept_parts("norm"))
-    lines, lines_path = scratch.stage(lines.select("doc", "line_no", "h1", "h2", "parts"), "marked")
-    unique = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"), F.first("parts").alias("parts"))
+class Hot:
+    """The most frequent repeated lines, at most ``HOT``, as they stand in their first place.
+
+    They are a bounded list of texts, so documents can drop them where they
+    are read; only the documents that hold a first place take the other way.
+    """
+
+    def __init__(self, decided: DataFrame, df: DataFrame, doc_id: str, text: str):
+        top = decided.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "h1", "h2").limit(HOT).select(F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_no"))
+        # at most HOT rows are broadcast, and as many lines come to the driver
+        places = df.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(top), "_doc").select("_doc", F.get(F.split("_text", "\n"), F.col("_no")).alias("line"))
+        rows = places.where(F.length("line") <= HOT_CHARS).distinct().select("*", F.xxhash64("line").alias("raw")).collect()
+        self.lines, self.raw = [r["line"] for r in rows], [r["raw"] for r in rows]
+        self.first = [r["_doc"] for r in rows]
+
+    def drops(self, doc: Column, line: Column) -> Column:
+        return line.isin(self.lines) & ~doc.isin(self.first) if self.lines else F.lit(False)
+
+
+def decide(df: DataFrame, doc_id: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame, Hot]:
+    """(marked, decided, hot): all lines (doc, line_no, h1, h2), the repeated ones (h1, h2, first, near, n), and the hot ones."""
+    marked = lines_of(df, doc_id, text, min_chars).withColumn("parts", kept_parts("norm"))
+    marked, _ = scratch.stage(marked.select("doc", "line_no", "h1", "h2", F.xxhash64("line").alias("raw"), "parts"), "marked")
+    unique = marked.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"), F.first("parts").alias("parts"))
     unique, unique_path = scratch.stage(unique, "unique")
 
     def of_documents(bitmap: DataFrame) -> DataFrame:
@@ -211,30 +236,33 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
         return lines_of(asked.where("maybe"), doc_id, text, min_chars)
 
     near = near_lines(of_documents, unique).withColumn("near", F.lit(True))
-    decided = unique.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    decided = unique.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), "n")
     decided, _ = scratch.stage(decided, "decided")
     scratch.drop(df.sparkSession, unique_path)
-    placed = maybe_in(lines.drop("parts"), "h1", key_bitmap(decided, "h1")).where("maybe").drop("maybe").join(decided, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") != F.col("first")))
-    gone, _ = scratch.stage(placed.groupBy("doc").agg(F.collect_set("line_no").alias("gone")), "gone")
-    scratch.drop(df.sparkSession, lines_path)
-    return gone
+    return marked.drop("parts"), decided, Hot(decided, df, doc_id, text)
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, count: str | None = None) -> DataFrame:
     """``df`` with the repeated lines taken out of ``text``; ``count``, if named, gets the number of lines that went."""
-    gone = repeated_lines(df, doc_id, text, min_chars)
-    key = F.xxhash64(F.col(doc_id))
-    gone = gone.withColumn("_key", F.xxhash64("doc"))
-    # documents without such a line are never moved
-    read, _ = scratch.stage(key_bitmap(gone, "_key"), "bitmap")
-    asked = maybe_in(df.withColumn("_key", key), "_key", read).drop("_key")
-    none = F.lit(0).cast("int")
-    rest = asked.where("not maybe").drop("maybe")
-    joined = asked.where("maybe").drop("maybe").join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_lost")), F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
+    marked, decided, hot = decide(df, doc_id, text, min_chars)
+    easy = F.col("raw").isin(hot.raw) & ~F.col("doc").isin(hot.first) if hot.raw else F.lit(False)
+    placed = maybe_in(marked.where(~easy), "h1", key_bitmap(decided, "h1")).where("maybe").drop("maybe").join(decided, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") != F.col("first")))
+    gone, _ = scratch.stage(placed.groupBy("doc").agg(F.collect_set("line_no").alias("gone")), "gone")
+    key = lambda d: d.select(F.xxhash64("doc").alias("_key"))
+    # documents without a repeated line are not touched, and those with hot ones alone are not moved
+    asked = df.withColumn("_key", F.xxhash64(F.col(doc_id)))
+    for name, keys in (("_cold", key(gone)), ("_hot", key(marked.where(easy)))):
+        asked = maybe_in(asked, "_key", key_bitmap(keys, "_key"), name=name)
+    asked = asked.drop("_key")
     lines = F.split(F.col(text).cast("string"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    changed = joined.withColumn(text, F.when(F.col("_lost").isNull(), F.col(text)).otherwise(kept))
-    if count:
-        rest, changed = rest.withColumn(count, none), changed.withColumn(count, F.when(F.col("_lost").isNull(), none).otherwise(F.size("_lost")))
-    return rest.unionByName(changed.drop("_lost"))
+    moved = asked.where("_cold").join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_lost")), F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_lost", F.array().cast("array<int>")))
+    by_place = F.transform(left, lambda i: F.get(lines, i))
+    doc = F.col(doc_id)
+    # in one expression: what is left by place, then without the hot lines
+    rest = asked.where("not _cold").withColumn("_lines", F.when(F.col("_hot") & doc.isNotNull() & F.col(text).isNotNull(), F.filter(lines, lambda x: ~hot.drops(doc, x))))
+    moved = moved.withColumn("_lines", F.when((F.col("_lost").isNotNull() | F.col("_hot")) & F.col(text).isNotNull(), F.filter(by_place, lambda x: ~hot.drops(doc, x)))).drop("_lost")
+    both = rest.unionByName(moved)
+    n = F.when(F.col("_lines").isNull(), 0).otherwise(F.size(lines) - F.size("_lines")).cast("int")
+    both = both.withColumn("_n", n).withColumn(text, F.when(F.col("_n") > 0, F.array_join("_lines", "\n")).otherwise(F.col(text)))
+    return (both.withColumn(count, F.col("_n")) if count else both).drop("_n", "_lines", "_cold", "_hot")

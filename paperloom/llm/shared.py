@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a membership bitmap; its table has at most 2 ** (FILTER_BITS - 6) rows of 12 bytes (3 MB).
@@ -19,15 +19,15 @@ def key_bitmap(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     return keys.where(f"{key} is not null").select(F.expr(f"cast(shiftrightunsigned({slot}, 6) as int) as word"), F.expr(f"shiftleft(1L, cast({slot} & 63L as int)) as bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """``df`` with the column ``maybe``: false only if the key surely isn't among those of the bitmap.
+def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS, name: str = "maybe") -> DataFrame:
+    """``df`` with the boolean column ``name``: false only if the key surely isn't among those of the bitmap.
 
     The broadcast side has a proven size bound (see FILTER_BITS), so rows are
     tested where they are read and the rest never enters a shuffle.
     """
     slot = _slot(key, bits)
     joined = df.withColumn("_word", F.expr(f"cast(shiftrightunsigned({slot}, 6) as int)")).join(F.broadcast(bitmap.withColumnsRenamed({"word": "_word", "bits": "_bits"})), "_word", "left")
-    return joined.withColumn("maybe", F.expr(f"coalesce((shiftrightunsigned(_bits, cast({slot} & 63L as int)) & 1L) = 1L, false)")).drop("_word", "_bits")
+    return joined.withColumn(name, F.expr(f"coalesce((shiftrightunsigned(_bits, cast({slot} & 63L as int)) & 1L) = 1L, false)")).drop("_word", "_bits")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -35,5 +35,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows of an Arrow batch that holds whole texts or pages, at most.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Have Spark send whole texts to Python in batches of at most ``rows``; its default of 10,000 holds ten times the memory, twice in the JVM and twice in the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.llm import line_dedup
 from paperloom.llm.embedding_dedup import near_vectors
 from paperloom.llm.exact_dedup import exact_dedup, normalised
 from paperloom.llm.jaccard_join import least_matches, one_of_each, similar_documents
@@ -120,7 +121,10 @@ def test_neighbourhood_hashes_equal_strings():
         assert [int(h) for h in neighbourhood(s)[1:]] == [full(s[:i] + s[i + 1 :]) for i in range(len(s))]
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [(256, 50), (3, 2)])
+def test_lines_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot[0])
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", hot[1])
     rng = random.Random(4)
     pool = ["".join(rng.choice("abc defgh") for _ in range(rng.randrange(10, 70))).strip() for _ in range(40)]
     docs = {}
