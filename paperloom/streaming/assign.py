@@ -1,7 +1,7 @@
 """Cluster assignment and event counts on streams.
 
-The reference has no streaming engine; its only stream is a download that is
-cut after n records. These are the operators that carry over as they are.
+No operator of the inventory is a stream (a download that is cut after n records
+is a limit). These are the ones that carry over to streams as they are.
 """
 
 from __future__ import annotations
