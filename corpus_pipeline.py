@@ -18,18 +18,21 @@ from paperloom.llm.quality_gam import held_out, score, train
 from paperloom.llm.queries import tokenizer_path
 from paperloom.llm.secret_forest import find_secrets, redact
 from paperloom.llm.shared import table
+from paperloom.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    ship(spark)
     model = train(docs, table(spark, sf_dir, "labels"), use=~held_out("_id"))
     return score(docs, model).where("score >= 0.7").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which nothing is left."""
+    ship(spark)
     left = dedup_lines(docs, count="n_gone")
     kept = left.where("n_gone = 0 or trim(text) <> ''")
     return kept.withColumn("n_chars", F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -37,6 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    ship(spark)
     return one_of_each(docs).select(*COLUMNS)
 
 
@@ -50,6 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
+    ship(spark)
     return pack(docs, tokenizer_path()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
