@@ -40,6 +40,7 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", prefi
     groups = rows.where("_full is not null").groupBy("_len", "_full").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
     # rows without a full hash get a key of their own, which spreads them and meets no group
     rows = rows.select("doc_id", *carry, "_len", F.coalesce("_full", F.col("doc_id").cast("string"), F.lit("")).alias("_full"))
-    joined = rows.join(groups, ["_len", "_full"], "left")
+    # dealt out anew: a join whose both sides are shuffled for it can be split where a large group meets
+    joined = rows.join(groups.repartition("_len", "keep"), ["_len", "_full"], "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"), *carry)
