@@ -698,6 +698,73 @@ def sink_wide_vectors(v: Views) -> DataFrame:
     return wide.select("node_id", *[F.round(F.col(f"dim_{i}").cast("double"), 6).alias(f"dim_{i}") for i in range(4)])
 
 
+@query("select node_id, title from nodes")
+def source_tsv(v: Views) -> DataFrame:
+    """A table without a header, columns named by the schema."""
+    path = _out(v, "tsv")
+    v.nodes().select("node_id", "title").write.option("sep", "\t").csv(path)
+    readers.exists(v.spark, path)
+    return readers.read_csv(v.spark, path, "node_id bigint, title string", sep="\t", header=False)
+
+
+@query("select node_id as source, class_idx as target, title from nodes")
+def source_positional(v: Views) -> DataFrame:
+    """Columns by position, whatever they are called."""
+    path = _out(v, "positional")
+    writers.write_csv(v.nodes().select(F.col("node_id").alias("a"), F.col("class_idx").alias("b"), "title"), path)
+    return readers.read_positional(v.spark, path, ["source", "target"], schema="a bigint, b int, title string")
+
+
+@query("select i::integer as class_id, 'category_' || i as category from range(40) t(i)")
+def source_label_map(v: Views) -> DataFrame:
+    """Made-up names where there is no file."""
+    return readers.read_label_map(v.spark)
+
+
+@query("select cluster_id, class_id, paper_count from comp")
+def source_composition(v: Views) -> DataFrame:
+    """S15, F8."""
+    path = _out(v, "composition")
+    writers.write_csv(v.composition(), path)
+    return longs(readers.read_composition(v.spark, path), "cluster_id", "paper_count").select("cluster_id", F.col("class_id").cast("int").alias("class_id"), "paper_count")
+
+
+@query("select * from (values (1, 'cs.LG'), (2, 'math.AG'), (3, 'hep-th'), (4, 'cs.AI')) t(id, category)")
+def category_names(v: Views) -> DataFrame:
+    """S17, X8."""
+    rows = [(1, "arxiv cs lg"), (2, "Math AG"), (3, " hep-th "), (4, "cs.AI")]
+    return v.spark.createDataFrame(rows, "id int, c string").select("id", readers.normal_category(F.col("c")).alias("category"))
+
+
+@query("select try_cast(case when node_id % 5 = 0 then 'x' else cast(node_id as varchar) end as bigint) as number, coalesce(title, 'Missing title') as title, '' as authors, node_id from nodes")
+def typed_nodes(v: Views) -> DataFrame:
+    """Coerced numbers, defaults for nulls and missing columns, columns in order."""
+    raw = v.nodes().select("node_id", F.when(F.col("node_id") % 5 == 0, "x").otherwise(F.col("node_id").cast("string")).alias("number"), "title")
+    typed = re_.coerce(re_.require_columns(raw, ["node_id", "number"]), {"number": "bigint"})
+    return re_.reorder(re_.fill_defaults(typed, {"title": "Missing title", "authors": ""}), ["number", "title", "authors"])
+
+
+@query("select node_id, class_idx from nodes where node_id < 100")
+def first_id_sample(v: Views) -> DataFrame:
+    """The sample by number that is taken where no strata are wanted."""
+    return sa.first_ids(v.nodes().select("node_id", "class_idx"), 100)
+
+
+@query("also s as (select cluster_id, count(*) as size from assignments group by 1), m as (select count(*) as a, max(size) as b, min(size) as c from s) select 'n_clusters: ' || a as value from m union all select 'largest: ' || b from m union all select 'smallest: ' || c from m")
+def summary_text(v: Views) -> DataFrame:
+    """The numeric measures as text lines."""
+    stats = co.cluster_size_stats(co.cluster_sizes(v.assignments())).select("n_clusters", "largest", "smallest", F.lit("text").alias("note"))
+    return writers.summary_lines(stats)
+
+
+@query("select node_id, round((e[1] + e[5]) / 2, 6) as first, round((e[2] + e[6]) / 2, 6) as second from emb")
+def masked_pooling(v: Views) -> DataFrame:
+    """The mean of the states whose mask is set."""
+    states = F.array(*[F.transform(F.slice("embedding", 4 * k + 1, 2), lambda x: x.cast("double")) for k in range(3)])
+    pooled = v.emb().select("node_id", vec.masked_mean(states, F.array(F.lit(1), F.lit(1), F.lit(0))).alias("m"))
+    return pooled.select("node_id", F.round(F.get("m", F.lit(0)), 6).alias("first"), F.round(F.get("m", F.lit(1)), 6).alias("second"))
+
+
 def _out(v: Views, name: str) -> str:
     import uuid
 
