@@ -204,7 +204,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id",
     groups = connected_components(found, "vec_id", "root").withColumnsRenamed({"node": "vec_id", "component": "component_id"})
     linked = counts.join(groups, "vec_id")
     if copied:
-        rows = named.join(classes, ["label", "a", "b"]).select("vec_id", "rep", "copies").join(linked.withColumnRenamed("vec_id", "rep"), "rep", "left")
+        # classes are dealt out anew, so that the join can be split where a large one meets
+        rows = named.join(classes.repartition("rep"), ["label", "a", "b"]).select("vec_id", "rep", "copies").join(linked.withColumnRenamed("vec_id", "rep"), "rep", "left")
         linked, _ = scratch.stage(rows.select("vec_id", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "linked")
         scratch.drop(spark, one_path)
     for path in (coded_path, sizes_path):
