@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from paperloom.llm.shared import text_batches
+
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A run of one class of characters from this length on is encoded as a tree.
@@ -156,6 +158,7 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
                     columns[decoded] = pa.array([c.decode(x) for x in found], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
+    text_batches(df.sparkSession)
     return df.select(*dict.fromkeys([*rest, text])).mapInArrow(run, schema)
 
 

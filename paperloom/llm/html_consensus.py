@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom import scratch
+from paperloom.llm.shared import text_batches
 from paperloom.llm.url_templates import host_of
 
 SHARE = 0.2
@@ -182,6 +183,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE) -> DataFrame:
     """(host, paths): the winning paths of each host, most votes first."""
+    text_batches(pages.sparkSession)
     votes = pages.select(host_of(url).alias("host"), html).mapInArrow(_votes, "host string, path string, score double").where("path <> ''")
     counts = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum(F.log1p("score")).alias("weight"))
     counts, _ = scratch.stage(counts, "votes")

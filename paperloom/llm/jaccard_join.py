@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from paperloom import scratch
 from paperloom.llm.embedding_dedup import grouped
 from paperloom.llm.line_dedup import _mix
-from paperloom.llm.shared import key_bitmap, maybe_in
+from paperloom.llm.shared import key_bitmap, maybe_in, text_batches
 from paperloom.operators.components import connected_components
 
 BANDS, ROWS = 24, 5
@@ -205,6 +205,7 @@ def similar_documents(df: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     if not 0.5 <= threshold <= 1:
         raise ValueError("the bands are laid out for thresholds from 0.5 on; recall at 0.8 is 0.9999")
     spark = df.sparkSession
+    text_batches(spark)
     id_type = df.schema[doc_id].dataType.simpleString()
     base = df.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     profiles, profiles_path = scratch.stage(base.mapInArrow(_profiles(n), f"doc {id_type}, s1 bigint, s2 bigint, size bigint, bands array<bigint>"), "profiles")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from paperloom.llm.bpe import codec
+from paperloom.llm.shared import text_batches
 
 BATCH_TOKENS = 4_000_000
 #: Room that a window may keep as padding.
@@ -166,4 +167,5 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1,
         if docs:
             yield from flush(names, docs, base)
 
+    text_batches(df.sparkSession)
     return df.select(doc_id, text).mapInArrow(run, schema)

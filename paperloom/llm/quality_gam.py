@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.shared import text_batches
+
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
 FEATURES = ["log_chars", "word_length", "upper", "digit", "symbol", "comma_stop", "blank", "distinct_words", "repeated_next", "log_line", "distinct_lines", "ended_lines", "bars", "marks", "longest_word", "other_bytes", "bang"]
@@ -179,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         rows = rows.where(use)
     chosen = rows.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` rows of two numbers are broadcast
+    text_batches(docs.sparkSession)
     found = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select(text, "_y").mapInArrow(_feature_rows, "y double, x array<double>").toArrow()
     x = np.array(found.column("x").to_pylist(), dtype=float).reshape(found.num_rows, len(FEATURES))
     y = found.column("y").to_numpy()
@@ -197,6 +200,7 @@ def score(docs: DataFrame, model: Gam, text: str = "text", name: str = "score",
             x = np.array([features(t) for t in pc.fill_null(b.column(len(rest)), "").to_pylist()]).reshape(b.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(model.score(x))], names=schema.names)
 
+    text_batches(docs.sparkSession)
     return source.mapInArrow(run, schema)
 
 
