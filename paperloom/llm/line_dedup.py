@@ -112,10 +112,13 @@ def neighbourhood(line: str) -> np.ndarray:
 
 def lines_of(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """(doc, line_no, line, norm, h1, h2) of each line that is compared."""
-    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line"))
-    # only runs and odd blanks are replaced, so most lines are merely searched
-    norm = F.trim(F.regexp_replace(F.lower("line"), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " "))
-    return rows.withColumn("norm", norm).where(F.length("norm") >= min_chars).withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
+    whole = F.col(text).cast("string")
+    # only runs and odd blanks are replaced, so most texts are merely searched; lower-casing keeps line breaks
+    plain = F.regexp_replace(F.lower(whole), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
+    both = F.arrays_zip(F.split(whole, "\n").alias("line"), F.split(plain, "\n").alias("plain"))
+    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(both).alias("line_no", "l"))
+    norm = rows.select("doc", "line_no", F.col("l.line").alias("line"), F.trim("l.plain").alias("norm")).where(F.length("norm") >= min_chars)
+    return norm.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
 
 
 def kept_parts(norm: str) -> Column:
