@@ -1,22 +1,18 @@
 """Operator 2: near-duplicate vectors by randomised-rotation binary codes.
 
 Each vector is scaled to length one and rotated at random; the signs of its
-components are its binary code, and the inner product of the code with the
-rotated vector is its stored correction factor. Dividing a code's inner
-product with another vector by the factor estimates the cosine without bias;
-its error is bounded, at ``error`` standard deviations, by sqrt((1 - f^2) /
-(f^2 (d - 1))) for a factor f. Pairs whose upper bound is below the threshold
-are dropped; all others are computed exactly in double precision, so no pair
-below the threshold is linked.
+components are its binary code, and the inner product f of the code with the
+rotated vector is its stored correction factor. The code stands at the angle
+acos(f) from its vector, so a vector within the threshold's angle t of it is
+within acos(f) + t of the code. Pairs whose code and vector are further apart
+are dropped, which holds without exception; all others are computed exactly in
+double precision. So every pair at the threshold or above is linked, and no other.
 
 Equal vectors of a label form a class, and one of each class goes on with their
-number as its weight, so copies are never compared. Candidates share a bucket: the signs under further rotations, ``bits`` at a
-time, in so many tables that a pair at the threshold meets with the chance
-``recall``. ``bits`` grows with the logarithm of the number of vectors, so
-buckets stay small. A bucket of more than ``block`` rows (a large group of
-copies) is split into chunks, and each pair of chunks is a task of its own;
-within a block only counts and a spanning star leave, never all pairs. A pair
-that meets in several tables counts in the first only.
+number as its weight, so copies are never compared. The vectors of a label are
+dealt into chunks of about ``block``, and each pair of chunks is a task of its own;
+within it only counts and a spanning star leave, never all pairs. The number of
+compared codes grows with the square of a label's distinct vectors.
 
 Vectors that are null, empty, zero, of another length than the label's
 others, or hold null or non-finite components link with nothing, and neither
@@ -44,11 +40,6 @@ def rotation(d: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def tables_for(bits: int, threshold: float, recall: float) -> int:
-    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)))
-
-
 def to_matrix(column: pa.Array) -> list[np.ndarray | None]:
     """Each row's vector in double precision, or None if it can't be compared."""
     out = []
@@ -62,11 +53,11 @@ def to_matrix(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def encode_vectors(df: DataFrame, vec_id: str, vector: str, label: str, bits: int, tables: int, seed: int) -> DataFrame:
-    """vec_id, label, unit vector (double), code, factor and bucket keys of all rows that can be compared."""
+def encode_vectors(df: DataFrame, vec_id: str, vector: str, label: str, seed: int) -> DataFrame:
+    """vec_id, label, unit vector (double), code and factor of all rows that can be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, list[np.ndarray]] = {}
+        turns: dict[int, np.ndarray] = {}
         for b in batches:
             rows = to_matrix(b.column(1))
             for d in sorted({len(x) for x in rows if x is not None}):
@@ -74,20 +65,18 @@ def encode_vectors(df: DataFrame, vec_id: str, vector: str, label: str, bits: in
                 x = np.array([rows[i] for i in at])
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if d not in turns:
-                    turns[d] = [rotation(d, seed + k) for k in range(1 + math.ceil(bits * tables / d))]
-                turned = x @ turns[d][0]
+                    turns[d] = rotation(d, seed)
+                turned = x @ turns[d]
                 signs = turned >= 0
                 factor = np.abs(turned).sum(axis=1) / math.sqrt(d)
-                more = np.concatenate([x @ t >= 0 for t in turns[d][1:]], axis=1)[:, : bits * tables].reshape(len(at), tables, bits)
-                keys = (more @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) * 4096 + d
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([np.packbits(s).tobytes() for s in signs], pa.binary()), pa.array(factor), pa.array(list(keys), pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([np.packbits(s).tobytes() for s in signs], pa.binary()), pa.array(factor)], names=names)
 
-    names = ["vec_id", "label", "unit", "code", "factor", "keys"]
+    names = ["vec_id", "label", "unit", "code", "factor"]
     id_type, label_type = df.schema[vec_id].dataType.simpleString(), df.schema[label].dataType.simpleString()
-    return df.where(F.col(label).isNotNull()).select(vec_id, vector, label).mapInArrow(run, f"vec_id {id_type}, label {label_type}, unit binary, code binary, factor double, keys array<bigint>")
+    return df.where(F.col(label).isNotNull()).select(vec_id, vector, label).mapInArrow(run, f"vec_id {id_type}, label {label_type}, unit binary, code binary, factor double")
 
 
-def block_links(rows: list[dict], threshold: float, error: float, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def block_links(rows: list[dict], threshold: float, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(links of each row, counting copies, smallest row number linked with it over any path) within a block.
 
     Rows of the same ``chunk`` are compared with each other if the block holds
@@ -96,14 +85,14 @@ def block_links(rows: list[dict], threshold: float, error: float, counts: dict[s
     n = len(rows)
     unit = np.frombuffer(b"".join(r["unit"] for r in rows)).reshape(n, -1)
     d = unit.shape[1]
-    keys = np.array([r["keys"] for r in rows])
-    table = rows[0]["table"]
     chunk = np.array([r["chunk"] for r in rows])
     turned = unit @ rotation(d, rows[0]["seed"])
     signs = np.unpackbits(np.frombuffer(b"".join(r["code"] for r in rows), np.uint8).reshape(n, -1), axis=1)[:, :d]
     factor = np.array([r["factor"] for r in rows])
-    bound = error * np.sqrt(np.maximum(0, 1 - factor**2) / (factor**2 * max(1, d - 1)))
-    codes = ((signs * 2.0 - 1) / math.sqrt(d) / factor[:, None]).astype(np.float32)
+    # the least inner product with a row's code that a vector within the threshold can have, and some room for single precision
+    within = np.arccos(np.clip(factor, -1, 1)) + math.acos(max(-1.0, min(1.0, threshold)))
+    least = np.cos(np.minimum(math.pi, within)) - 1e-4
+    codes = ((signs * 2.0 - 1) / math.sqrt(d)).astype(np.float32)
     weight = np.array([r["copies"] for r in rows])
     links, root = np.zeros(n, np.int64), np.arange(n)
 
@@ -117,7 +106,7 @@ def block_links(rows: list[dict], threshold: float, error: float, counts: dict[s
     turned32 = turned.astype(np.float32)
     for lo in range(0, n, 256):
         mine = slice(lo, min(n, lo + 256))
-        may = turned32[mine] @ codes.T + bound[None, :] >= threshold
+        may = turned32[mine] @ codes.T >= least[None, :]
         may &= np.arange(n)[None, :] > np.arange(lo, mine.stop)[:, None]
         if apart:
             may &= chunk[mine][:, None] != chunk[None, :]
@@ -128,9 +117,6 @@ def block_links(rows: list[dict], threshold: float, error: float, counts: dict[s
             a, b = a[ok], b[ok]
             if counts is not None:
                 counts["exact"] = counts.get("exact", 0) + len(ok)
-            if table:  # an earlier table has counted the pair
-                new = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
-                a, b = a[new], b[new]
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
             for p, q in zip(a.tolist(), b.tolist(), strict=True):
@@ -157,41 +143,34 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[dict]]
         yield held
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 0.98, bucket: int = 2, block: int = 1024, error: float = 4.0, seed: int = 7) -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 1024, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``df``."""
     spark = df.sparkSession
-    n = df.count()
-    bits = max(4, math.ceil(math.log2(max(1, n) / bucket)) - 3)
-    tables = tables_for(bits, threshold, recall)
     id_type = df.schema[vec_id].dataType.simpleString()
     vectors = df.where(F.col(vec_id).isNotNull())
     if vectors.groupBy(vec_id).count().where("count > 1").limit(1).count():
         vectors = vectors.groupBy(vec_id).agg(F.min(F.struct(label, vector)).alias("_least")).select(vec_id, F.col(f"_least.{label}").alias(label), F.col(f"_least.{vector}").alias(vector))
-    coded, coded_path = scratch.stage(encode_vectors(vectors, vec_id, vector, label, bits, tables, seed), "codes")
+    coded, coded_path = scratch.stage(encode_vectors(vectors, vec_id, vector, label, seed), "codes")
     named = coded.select("vec_id", "label", F.xxhash64("unit").alias("a"), F.xxhash64(F.lit(7), "unit").alias("b"))
     classes = named.groupBy("label", "a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     copied = classes.where("copies > 1").limit(1).count() > 0
     one, one_path = coded.withColumn("copies", F.lit(1).cast("long")), None
     if copied:
         one, one_path = scratch.stage(coded.join(classes.select(F.col("rep").alias("vec_id"), "copies"), "vec_id"), "classes")
-    slim = one.select("vec_id", "label", F.posexplode("keys").alias("table", "key"))
-    sizes = slim.groupBy("label", "table", "key").agg(F.count("*").alias("size")).where("size > 1")
-    sizes, sizes_path = scratch.stage(sizes, "buckets")
-    # a bucket of one row has no pairs; the others say into how many chunks they are split
-    wide = slim.join(sizes, ["label", "table", "key"]).withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
-    chunk = F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")
-    spread = wide.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = spread.select("vec_id", "label", "table", "key", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk")
-    full = placed.join(one.select("vec_id", F.col("label").alias("_label"), "unit", "code", "factor", "keys", "copies"), "vec_id").where("label = _label").drop("_label")
-    dealt = full.select("label", "table", "key", "one", "two", "chunk", "vec_id", "unit", "code", "factor", "keys", "copies").repartition("label", "table", "key", "one", "two").sortWithinPartitions("label", "table", "key", "one", "two", "chunk", "vec_id")
+    wide = one.withColumn("width", F.length("unit"))
+    sizes, sizes_path = scratch.stage(wide.groupBy("label", "width").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")), "sizes")
+    placed = wide.join(sizes, ["label", "width"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = ["label", "width", "one", "two"]
+    dealt = spread.select("label", "width", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "vec_id", "unit", "code", "factor", "copies").repartition(*key).sortWithinPartitions(*key, "chunk", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in grouped(batches, 5):
+        for rows in grouped(batches, len(key)):
             if rows[0]["one"] != rows[0]["two"] and rows[0]["chunk"] == rows[-1]["chunk"]:
                 continue
             rows[0]["seed"] = seed
-            links, root = block_links(rows, threshold, error)
+            links, root = block_links(rows, threshold)
             out += [(rows[i]["vec_id"], rows[r]["vec_id"], k) for i, (r, k) in enumerate(zip(root.tolist(), links.tolist(), strict=True)) if k]
             if len(out) > 8192:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["vec_id", "root", "links"])

@@ -194,3 +194,18 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i].n_links == 0 for i, *_ in odd if i not in (2006, 2007))
     assert all(got[i].kept == (got[i].component_id == i) for i in links)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_lose_no_pair_at_the_threshold(spark):
+    """Pairs at just 0.93, each in two directions of its own, are all linked, whatever the number of other rows."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(1500):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        rows += [(2 * g, a.tolist(), 0), (2 * g + 1, (0.9301 * a + np.sqrt(1 - 0.9301**2) * b).tolist(), 0)]
+    x = np.array([r[1] for r in rows])
+    links = np.argwhere(np.triu(x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2) >= 0.93, 1))
+    assert len(links) == 1500
+    for part in (rows, rows[:40]):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(part, "vec_id long, embedding array<double>, label int")).collect()}
+        assert got == {r[0]: (1, r[0] // 2 * 2, r[0] % 2 == 0) for r in part}
