@@ -2,12 +2,14 @@
 
 Up to ``DENSE`` nodes the Laplacian's smallest eigenpairs are computed exactly
 in one task-sized matrix on the driver (its size is checked first). Beyond,
-orthogonal iteration on 2I - L runs as sparse products of the edge list with
-a block of vectors, which is one join and one aggregation a step.
+subspace iteration with Chebyshev filters runs as sparse products of the edge list with
+a block of vectors, each one join and one aggregation, until the residuals are small.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -20,6 +22,8 @@ from paperloom.functions.vector import unit
 from paperloom.operators.graph import normalized_laplacian
 
 DENSE = 3000
+#: Of the iteration: vectors beside those asked for, products of a filter at most, and the logarithm of its growth at most.
+GUARD, DEGREE, GROWTH = 16, 20, 23.0
 
 
 def _clean(values: np.ndarray) -> np.ndarray:
@@ -37,53 +41,111 @@ def _dense(lap: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, _clean(values), vectors
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _gram(x: DataFrame, columns: list[str]) -> np.ndarray:
+    """The Gram matrix of the array columns side by side, summed by partition."""
+
+    def run(batches):
+        total = None
+        for t in batches:
+            if t.num_rows:
+                m = np.concatenate([_matrix(t.column(c)) for c in columns], axis=1)
+                total = m.T @ m + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"cell": np.arange(total.size), "x": total.ravel()})
+
+    sums = x.select(*columns).mapInArrow(run, "cell bigint, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(sums.num_rows)
+    out[sums.column("cell").to_numpy()] = sums.column("x").to_numpy()
+    return out.reshape(math.isqrt(len(out)), -1)
+
+
+def _orthogonal(x: DataFrame) -> np.ndarray:
+    """m, so that the vectors v times m are orthonormal; from the triangular factors of the partitions, as products would lose half the digits."""
+
+    def run(batches):
+        r = None
+        for t in batches:
+            if t.num_rows:
+                m = _matrix(t.column("v"))
+                r = np.linalg.qr(m if r is None else np.concatenate([r, m]), mode="r")
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(list(r), pa.list_(pa.float64()))], names=["r"])
+
+    r = np.array(x.select("v").mapInArrow(run, "r array<double>").toArrow().column("r").to_pylist())
+    r = np.linalg.qr(r, mode="r")
+    scale = np.linalg.norm(r, axis=0)
+    scale[scale == 0] = 1
+    _, size, turn = np.linalg.svd(r / scale)
+    some = size > 1e-13 * size[0]
+    return (turn[: len(size)][some].T / size[some]) / scale[:, None]
+
+
+def _times(x: DataFrame, made: dict[str, list[tuple[str, np.ndarray]]]) -> DataFrame:
+    """(i, ...): each named column is the sum of the given columns times their matrices."""
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                out = [sum(_matrix(t.column(c)) @ m for c, m in parts) for parts in made.values()]
+                yield pa.RecordBatch.from_arrays([t.column("i"), *[pa.array(list(v), pa.list_(pa.float64())) for v in out]], names=["i", *made])
+
+    return x.mapInArrow(run, ", ".join(["i bigint", *[f"{n} array<double>" for n in made]]))
+
+
+def _product(matrix: DataFrame, x: DataFrame, column: str, p: int, name: str) -> DataFrame:
+    """(i, ``name``): the sparse matrix (i, j, w) times the block of vectors in a column of p values."""
+    part = matrix.join(x.select(F.col("i").alias("j"), F.col(column).alias("x")), "j").select("i", *[(F.col("w") * F.get("x", F.lit(c))).alias(f"c{c}") for c in range(p)])
+    return part.groupBy("i").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(p)]).select("i", F.array(*[f"c{c}" for c in range(p)]).alias(name))
+
+
 def _iterate(lap: DataFrame, k: int, steps: int, seed: int, tol: float) -> tuple[np.ndarray, DataFrame]:
-    """Orthogonal iteration with 2I - L: (eigenvalues, (node_id, v)). Only k x k Gram matrices reach the driver."""
+    """Subspace iteration with Chebyshev filters: (eigenvalues, (node_id, v)).
+
+    A round is a filter of up to ``DEGREE`` products and a Rayleigh-Ritz step;
+    it ends when ||L v - value v|| of all k pairs is at most ``tol``, and raises
+    after ``steps`` rounds. Only matrices of the block's width reach the driver.
+    """
     spark = lap.sparkSession
-    p = k + 4
+    nodes = lap.select(F.col("i").cast("long").alias("i")).distinct()
+    p = min(nodes.count(), k + GUARD)
+    # a Laplacian of weights that aren't negative ends at 2, any matrix at its largest absolute row sum
+    odd = lap.agg(F.max(F.col("i") != F.col("j")).alias("edges"), F.max(F.when(F.col("i") != F.col("j"), F.col("w"))).alias("w")).first()
+    top = 2.0 if not odd.edges or odd.w <= 0 else lap.groupBy("i").agg(F.sum(F.abs("w")).alias("s")).agg(F.max("s")).first()[0]
     rand = F.array(*[(F.pmod(F.xxhash64("i", F.lit(seed + c)), F.lit(2000003)) / 1000001.5 - 1) for c in range(p)])  # repeatable
-    v, path = scratch.stage(lap.select(F.col("i").cast("long").alias("i")).distinct().select("i", rand.alias("v")), "vectors")
-    old = None
-
-    def gram(x: DataFrame, a: str, b: str) -> np.ndarray:
-        def run(batches):
-            total = np.zeros((p, p))
-            for t in batches:
-                left, right = (np.array(t.column(c).to_pylist(), dtype=float).reshape(-1, p) for c in (a, b))
-                total += left.T @ right
-            yield pa.RecordBatch.from_pydict({"cell": np.arange(p * p), "x": total.ravel()})
-
-        cells = x.select(a, b if b != a else F.col(a).alias("same")).toDF("a", "b").select("a", "b")
-        a, b = "a", "b"
-        sums = cells.mapInArrow(run, "cell bigint, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
-        out = np.zeros(p * p)
-        out[sums.column("cell").to_numpy()] = sums.column("x").to_numpy()
-        return out.reshape(p, p)
-
-    def times(x: DataFrame, m: np.ndarray) -> DataFrame:
-        def run(batches):
-            for t in batches:
-                v = np.array(t.column("v").to_pylist(), dtype=float).reshape(-1, p) @ m
-                yield pa.RecordBatch.from_arrays([t.column("i"), pa.array(list(v), pa.list_(pa.float64()))], names=["i", "v"])
-
-        return x.select("i", "v").mapInArrow(run, "i bigint, v array<double>")
-
-    values = np.zeros(p)
-    for _ in range(steps):
-        inv = np.linalg.inv(np.linalg.cholesky(gram(v, "v", "v") + 1e-12 * np.eye(p))).T
-        q = times(v, inv)
-        part = lap.join(q.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").select("i", *[(F.col("w") * F.get("x", F.lit(c))).alias(f"c{c}") for c in range(p)])
-        lv = part.groupBy("i").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(p)]).select("i", F.array(*[f"c{c}" for c in range(p)]).alias("lv"))
-        both, new = scratch.stage(q.join(lv, "i").select("i", "v", "lv"), "vectors")
-        ritz, turn = np.linalg.eigh((lambda g: (g + g.T) / 2)(gram(both, "v", "lv")))
+    v, path = scratch.stage(nodes.select("i", rand.alias("v")), "vectors")
+
+    def restage(x: DataFrame) -> DataFrame:
+        nonlocal path
+        new, made = scratch.stage(x, "vectors")
         scratch.drop(spark, path)
-        path = new
-        done = old is not None and np.abs(ritz[:k] - old[:k]).max() < tol
-        values, old = ritz, ritz
-        if done:
-            return _clean(values[:k]), times(both, turn[:, :k]).select(F.col("i").alias("node_id"), "v")
-        v = both.select("i", F.transform(F.arrays_zip("v", "lv"), lambda z: 2 * z["v"] - z["lv"]).alias("v"))
-    return _clean(values[:k]), times(both, turn[:, :k]).select(F.col("i").alias("node_id"), "v")
+        path = made
+        return new
+
+    worst = np.inf
+    for _ in range(steps):
+        m = _orthogonal(v)
+        p = m.shape[1]
+        q = restage(_times(v, {"v": [("v", m)]}))
+        both = restage(q.join(_product(lap, q, "v", p, "lv"), "i").select("i", "v", "lv"))
+        g = _gram(both, ["v", "lv"])
+        ritz, turn = np.linalg.eigh((g[:p, p:] + g[p:, :p]) / 2)
+        worst = np.sqrt(np.maximum(0, np.diag(turn.T @ g[p:, p:] @ turn) - ritz**2))[:k].max()
+        if worst <= tol:
+            return _clean(ritz[:k]), _times(both, {"v": [("v", turn[:, :k])]}).select(F.col("i").alias("node_id"), "v")
+        # the filter is small from the block's largest value to the spectrum's end, and grows below; by a bounded factor, to keep digits
+        centre, half = (top + ritz[-1]) / 2, max((top - ritz[-1]) / 2, 1e-3)
+        degree = max(2, min(DEGREE, int(GROWTH / max(1e-9, math.acosh(max(1.0, (centre - ritz[0]) / half))))))
+        state = restage(_times(both, {"old": [("v", turn)], "v": [("lv", turn / half), ("v", turn * (-centre / half))]}))
+        for _ in range(degree - 1):
+            lv = _product(lap, state, "v", p, "lv")
+            step = F.transform(F.arrays_zip("v", "lv", "old"), lambda z: 2 * (z["lv"] - centre * z["v"]) / half - z["old"])
+            state = restage(state.join(lv, "i").select("i", F.col("v").alias("old"), step.alias("v")))
+        v = state.select("i", "v")
+    raise RuntimeError(f"eigenvectors did not converge: residual {worst:.1e} after {steps} rounds, asked {tol:.1e}")
 
 
 def eigenpairs(matrix: DataFrame, k: int, dense: int = DENSE, steps: int = 200, tol: float = 1e-6, seed: int = 42) -> tuple[list[float], DataFrame]:

@@ -141,6 +141,23 @@ def test_eigenpairs_dense_and_iterated_agree(spark):
     assert rows.count() == 36
 
 
+def random_graph(spark, n, m, seed):
+    e = np.random.default_rng(seed).integers(0, n, (m, 2))
+    e = {(int(a), int(b)) for a, b in e if a != b} | {(i, (i + 1) % n) for i in range(n)}
+    return spark.createDataFrame([(*x, 1.0) for x in {y for a, b in e for y in ((a, b), (b, a))}], "i long, j long, w double")
+
+
+def test_iterated_eigenvectors_of_close_values(spark):
+    m = random_graph(spark, 300, 1500, 2)
+    dense, rows = sp.eigenpairs(m, 5)
+    iterated, found = sp.eigenpairs(m, 5, dense=0)
+    assert np.allclose(dense, iterated, atol=1e-8)
+    a, b = (np.array([r.v for r in sorted(x.collect(), key=lambda r: r.node_id)]) for x in (rows, found))
+    assert np.linalg.svd(a.T @ b)[1].min() > 1 - 1e-6
+    with pytest.raises(RuntimeError, match="converge"):
+        sp.eigenpairs(m, 5, dense=0, steps=1)
+
+
 def test_spectral_clustering_finds_blobs(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_normal((15, 3)) * 0.1 + c for c in ([3, 0, 0], [0, 3, 0], [0, 0, 3])])
