@@ -231,17 +231,79 @@ def spectral_cluster(matrix: DataFrame, k: int, row_normalise: bool = False, n_i
     return kmeans(features, k, n_init=n_init, seed=seed)
 
 
+def _within(m: DataFrame, ids: DataFrame) -> DataFrame:
+    """The matrix between the given nodes, made symmetric; every node has a row."""
+    part = m.join(ids.toDF("i"), "i", "left_semi").join(ids.toDF("j"), "j", "left_semi").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.col("w") / 2).alias("w"))
+    loops = ids.select(F.col("node_id").cast("long").alias("i"), F.col("node_id").cast("long").alias("j"), F.lit(0.0).alias("w"))
+    return part.unionByName(part.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).unionByName(loops).groupBy("i", "j").agg(F.sum("w").alias("w"))
+
+
+def _absolute_sums(u: DataFrame) -> DataFrame:
+    """(i, d): the absolute row sums of (U Z' + Z U') / 2 for the rows (i, u, z), by blocks; 0 counts as 1."""
+    from paperloom.operators.similarity import block_pairs
+
+    def kernel(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
+        total = np.zeros(l.num_rows)
+        if l.num_rows and r.num_rows:
+            (lu, lz), (ru, rz) = ([_matrix(t.column(c).combine_chunks()) for c in ("u", "z")] for t in (l, r))
+            for at in range(0, l.num_rows, 512):
+                mine = slice(at, at + 512)
+                total[mine] = np.abs(lu[mine] @ rz.T + lz[mine] @ ru.T).sum(1) / 2
+        return pa.table({"i": l.column("i"), "d": total})
+
+    sums = block_pairs(u, u, kernel, "i bigint, d double", id_col="i").groupBy("i").agg(F.sum("d").alias("d"))
+    return sums.select("i", F.when(F.col("d") == 0, 1.0).otherwise(F.col("d")).alias("d"))
+
+
+def _cotrained(views: list[DataFrame], k: int, rounds: int) -> DataFrame:
+    """(node_id, features) of co-training on two symmetric matrices (i, j, w) over the same nodes.
+
+    A turned view S = (U Z' + Z U') / 2 with Z = K U, for the other view's
+    vectors U, is never built: its row sums are added up by blocks, and its
+    leading vectors follow from the 2k x 2k Gram matrix of U and Z.
+    """
+
+    def scaled(m: DataFrame) -> DataFrame:
+        d = m.groupBy("i").agg(F.sum(F.abs("w")).alias("d")).select("i", F.when(F.col("d") == 0, 1.0).otherwise(F.col("d")).alias("d"))
+        lap = m.join(d, "i").join(d.toDF("j", "dj"), "j").select("i", "j", (F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) - F.col("w") / F.sqrt(F.col("d") * F.col("dj"))).alias("w"))
+        return scratch.staged(lap, "laplacian")
+
+    def turned(k_own: DataFrame, other: DataFrame) -> DataFrame:
+        z = _product(k_own, other, "v", k, "z")
+        uz = scratch.staged(other.withColumnRenamed("v", "u").join(z, "i").select("i", "u", "z"), "turned")
+        by = lambda c: F.transform(c, lambda x: x / F.sqrt("d")).alias(c)
+        b = scratch.staged(uz.join(_absolute_sums(uz), "i").select("i", by("u"), by("z")), "turned")
+        g = _gram(b, ["u", "z"])
+        scale = np.sqrt(np.diag(g))
+        scale[scale == 0] = 1
+        size, base = np.linalg.eigh(g / scale[:, None] / scale[None, :])
+        some = size > 1e-12 * size[-1]
+        q = base[:, some] / np.sqrt(size[some]) / scale[:, None]  # B q is orthonormal
+        half = np.zeros((2 * k, 2 * k))
+        half[:k, k:] = half[k:, :k] = np.eye(k) / 2
+        _, turn = np.linalg.eigh(q.T @ g @ half @ g @ q)
+        top = q @ turn[:, -k:]
+        top = np.concatenate([np.zeros((2 * k, k - top.shape[1])), top], axis=1)
+        return scratch.staged(_times(b, {"v": [("u", top[:k]), ("z", top[k:])]}), "turned")
+
+    tops = [scratch.staged(_iterate(scaled(m), k, 200, 42, 1e-6)[1].withColumnRenamed("node_id", "i"), "tops") for m in views]
+    for _ in range(rounds):
+        tops = [turned(views[i], tops[1 - i]) for i in (0, 1)]
+    both = tops[0].join(tops[1].select("i", F.col("v").alias("w")), "i")
+    return both.select(F.col("i").alias("node_id"), unit(F.concat("v", "w")).alias("features"))
+
+
 def multiview_cluster(first: DataFrame, second: DataFrame, k: int, rounds: int = 3, n_init: int = 10, seed: int = 42) -> DataFrame:
     """Co-trained spectral clustering of two affinity matrices over the same nodes.
 
     In each round a view's affinity is projected on the other view's leading
     eigenvectors and made symmetric; then the concatenated, row-normalised eigenvectors
-    are clustered. Beyond ``DENSE`` nodes the views' features are concatenated without rounds.
+    are clustered. Beyond ``DENSE`` nodes the same is computed on the edge lists.
     """
     ids = first.select(F.col("i").alias("node_id")).distinct().join(second.select(F.col("i").alias("node_id")).distinct(), "node_id", "left_semi")
     if ids.count() > DENSE:
-        a, b = (spectral_features(m, k, True).withColumnRenamed("features", n) for m, n in ((first, "fa"), (second, "fb")))
-        return kmeans(a.join(b, "node_id").select("node_id", F.concat("fa", "fb").alias("features")), k, n_init=n_init, seed=seed)
+        x = _cotrained([scratch.staged(_within(m, ids), "view") for m in (first, second)], k, rounds)
+        return kmeans(x, k, n_init=n_init, seed=seed)
     order = np.sort(ids.toArrow().column("node_id").to_numpy())
 
     def full(m: DataFrame) -> np.ndarray:

@@ -168,6 +168,23 @@ def test_spectral_clustering_finds_blobs(spark):
     assert me.adjusted_rand(spread).first().ari == 1.0
 
 
+def test_cotraining_beyond_the_dense_bound(spark, monkeypatch):
+    seen = {}
+
+    def keep(rows, *_, **__):
+        return seen.setdefault("x", np.array([r.features for r in sorted(rows.collect(), key=lambda r: r.node_id)]))
+
+    monkeypatch.setattr(sp, "kmeans", keep)
+    a, b = random_graph(spark, 60, 200, 4), random_graph(spark, 60, 260, 5)
+    dots = []
+    for bound in (3000, 10):
+        monkeypatch.setattr(sp, "DENSE", bound)
+        seen.clear()
+        sp.multiview_cluster(a, b, 3, rounds=2)
+        dots.append(seen["x"] @ seen["x"].T)  # the same whatever the vectors' signs
+    assert np.allclose(dots[0], dots[1], atol=1e-4)
+
+
 def test_gaps_with_several_zero_eigenvalues(spark):
     v = sp.eigenvalue_frame(spark, [0, 0, 0.01, 0.05, 0.3, 0.32, 0.9])
     g = sp.eigen_gaps(v)
