@@ -8,9 +8,9 @@ labelled findings, scores it. Trees are compiled to SQL expressions over the
 candidates of a row, so scanning is one pass of SQL functions without any
 shuffle, explode or Python.
 
-Null text has no findings and stays null. A value that occurs several times
-in a text is one finding, judged where it first occurs and redacted
-everywhere. Empty tables give empty results. ``path`` may be null or missing.
+Null text has no findings and stays null. Every match is a finding with its own
+place and score. A value is a secret if it is one in any of its places, and is then
+redacted everywhere. Empty tables give empty results. ``path`` may be null or missing.
 """
 
 from __future__ import annotations
@@ -127,18 +127,48 @@ def forest_score(model, f: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [_expression(r, f) for r in roots]) / len(roots)
 
 
+def _sums(n: Column) -> Column:
+    """For an array of ints: the sum of all before each one. In runs of 256, so that a long array isn't copied for each element."""
+    zero = F.array().cast("array<int>")
+    ends = lambda a: F.aggregate(a, F.struct(F.lit(0).alias("sum"), zero.alias("before")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before")))
+    starts = F.when(F.size(n) > 0, F.sequence(F.lit(1), F.size(n), F.lit(256))).otherwise(zero)
+    runs = F.transform(starts, lambda k: ends(F.slice(n, k, 256)))
+    joined = F.aggregate(runs, F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("before")), lambda s, r: F.struct((s["sum"] + r["sum"]).alias("sum"), F.concat(s["before"], F.array(F.transform(r["before"], lambda x: x + s["sum"]))).alias("before")))
+    return F.flatten(joined["before"])
+
+
+def _places(df: DataFrame, t: Column, pattern: str, group: str | None, name: str) -> DataFrame:
+    """Add ``name``: (value, at) of each match, or of what the first group of ``group``, the same pattern, holds at its end; ``at`` counts from 1.
+
+    The text split by the pattern and the matches take turns, so their lengths give the places.
+    """
+    none = F.array().cast("array<string>")
+    hit = t.rlike(pattern)
+    found = df.withColumns({"_gaps": F.when(hit, F.split(t, pattern, -1)).otherwise(none), "_whole": F.when(hit, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)})
+    found = found.withColumn("_part", F.when(hit, F.regexp_extract_all(t, F.lit(group), F.lit(1))).otherwise(none) if group else F.col("_whole"))
+    steps = F.zip_with(F.slice("_gaps", F.lit(1), F.size("_whole")), "_whole", lambda g, w: F.length(g) + F.length(w))
+    found = found.withColumn("_from", _sums(steps))
+    first = F.zip_with("_from", F.arrays_zip("_gaps", "_whole", "_part"), lambda f, z: F.struct(z["_part"].alias("value"), (f + F.length(z["_gaps"]) + F.length(z["_whole"]) - F.length(z["_part"]) + 1).alias("at")))
+    return found.withColumn(name, F.filter(first, lambda m: m["value"].isNotNull() & m["at"].isNotNull())).drop("_gaps", "_whole", "_part", "_from")
+
+
 def find_secrets(df: DataFrame, model=None, text: str = "text", path: str | None = None, threshold: float = 0.5, name: str = "findings") -> DataFrame:
-    """Add ``findings``: array of (value, at, score, secret) for each distinct candidate of a text; ``at`` is its first place, from 1."""
+    """Add ``findings``: array of (value, at, score, secret), one for each place of a candidate in a text; ``at`` is the place, from 1.
+
+    ``score`` is the place's own; ``secret`` holds if any place of the value reaches ``threshold``.
+    """
     model = model or train(df.sparkSession)
     t = F.col(text).cast("string")
-    tokens = F.when(t.rlike(TOKEN), F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    values = F.when(t.rlike(VALUE), F.regexp_extract_all(t, F.lit(VALUE_GROUP), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    strip = lambda v: F.regexp_replace(v, r"^[^=]{0,24}=(?=[^=])|[=.,;)]+$", "")
-    candidates = F.array_distinct(F.filter(F.transform(F.concat(values, tokens), strip), lambda v: F.length(v) >= 6))
+    rows = _places(_places(df, t, VALUE, VALUE_GROUP, "_values"), t, TOKEN, None, "_tokens")
+
+    def strip(m: Column) -> Column:
+        rest = F.regexp_replace(m["value"], r"^[^=]{0,24}=(?=[^=])", "")
+        return F.struct(F.regexp_replace(rest, r"[=.,;)]+$", "").alias("value"), (m["at"] + F.length(m["value"]) - F.length(rest)).alias("at"))
+
+    matches = F.array_distinct(F.filter(F.transform(F.concat("_values", "_tokens"), strip), lambda m: F.length(m["value"]) >= 6))
+    located = rows.withColumn("_at", matches).drop("_values", "_tokens")
 
     source = F.col(path) if path else F.lit("")
-    rows = df.withColumn("_values", F.when(t.isNull(), F.array().cast("array<string>")).otherwise(candidates))
-    located = rows.withColumn("_at", F.transform("_values", lambda v: F.struct(v.alias("value"), F.position(v, t).alias("at"))))
 
     def seen(c: Column) -> Column:
         at = c["at"]
@@ -148,11 +178,13 @@ def find_secrets(df: DataFrame, model=None, text: str = "text", path: str | None
     described = located.withColumn("_seen", F.transform("_at", seen)).withColumn("_x", F.transform("_seen", lambda c: F.array(*features(c["value"], c["before"], c["after"], source))))
     scores = F.transform("_x", lambda x: forest_score(model, [F.get(x, F.lit(k)) for k in range(len(FEATURES))]))
     scored = described.withColumn("_scores", scores)
-    result = F.transform(F.arrays_zip("_at", "_scores"), lambda z: F.struct(z["_at"]["value"].alias("value"), z["_at"]["at"].alias("at"), z["_scores"].alias("score"), (z["_scores"] >= threshold).alias("secret")))
-    return scored.withColumn(name, result).drop("_values", "_at", "_seen", "_x", "_scores")
+    secret = F.array_distinct(F.transform(F.filter(F.arrays_zip("_at", "_scores"), lambda z: z["_scores"] >= threshold), lambda z: z["_at"]["value"]))
+    result = F.transform(F.arrays_zip("_at", "_scores"), lambda z: F.struct(z["_at"]["value"].alias("value"), z["_at"]["at"].alias("at"), z["_scores"].alias("score"), F.array_contains("_secret", z["_at"]["value"]).alias("secret")))
+    return scored.withColumn("_secret", secret).withColumn(name, result).drop("_at", "_seen", "_x", "_scores", "_secret")
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """The text with every secret replaced, longest first."""
-    secrets = F.array_sort(F.filter(findings, lambda f: f["secret"]), lambda a, b: F.length(b["value"]) - F.length(a["value"]))
-    return F.when(F.size(secrets) > 0, F.aggregate(secrets, text, lambda t, f: F.replace(t, f["value"], F.lit(mark)))).otherwise(text)
+    values = F.array_distinct(F.transform(F.filter(findings, lambda f: f["secret"]), lambda f: f["value"]))
+    secrets = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(secrets) > 0, F.aggregate(secrets, text, lambda t, v: F.replace(t, v, F.lit(mark)))).otherwise(text)

@@ -105,3 +105,19 @@ def test_secrets(spark):
     assert find_secrets(df.limit(0), model).count() == 0
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_secrets_are_judged_in_each_place(spark):
+    value = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"
+    late = f"é commit {value} fixed it\nand then password={value} was set; {value}."
+    many = " ".join(f"{i:04d}abcdefgh{i:04d}" for i in range(700))
+    df = spark.createDataFrame([(1, late), (2, f"commit {value} fixed it"), (3, many), (4, f"{value} start")], "doc_id long, text string")
+    found = find_secrets(df, train_forest(spark))
+    got = {r.doc_id: r.findings for r in found.collect()}
+    places = lambda text, v: [i + 1 for i in range(len(text)) if text.startswith(v, i)]
+    assert sorted(f.at for f in got[1]) == places(late, value) and all(f.value == value and f.secret for f in got[1])
+    assert len({f.score for f in got[1]}) > 1
+    assert [(f.at, f.secret) for f in got[2]] == [(8, False)] and [f.at for f in got[4]] == [1]
+    assert [(f.value, f.at) for f in got[3]] == [(v, many.index(v) + 1) for v in many.split()]
+    clean = found.where("doc_id = 1").select(redact(F.col("text"), F.col("findings")).alias("t")).first().t
+    assert value not in clean and clean.count("[SECRET]") == 3
