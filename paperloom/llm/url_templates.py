@@ -3,7 +3,7 @@
 A URL is its host and the segments of its path. Segments that look variable
 (numbers, long hexadecimal strings, UUIDs, dates) become a wildcard of their
 shape where the URL is read, which leaves few distinct paths to work on. Then,
-from the first segment down:
+from the first segment down to the deepest:
 
 * a node of the tree with more than ``max_branches`` literal children that
   are mostly rare gets one wildcard child in their place;
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from paperloom import scratch
 from paperloom.llm.shared import ascii_lower
 
-DEPTH = 6
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
@@ -41,8 +40,8 @@ def path_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def segment_shapes(path: str, depth: int = DEPTH) -> Column:
-    """The path's segments, variable ones as wildcards; those beyond ``depth`` as one."""
+def segment_shapes(path: str, depth: int | None = None) -> Column:
+    """The path's segments, variable ones as wildcards; those beyond ``depth``, if given, as one."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def shape(s: Column) -> Column:
@@ -51,6 +50,8 @@ def segment_shapes(path: str, depth: int = DEPTH) -> Column:
         return F.concat(kind, tail)
 
     shapes = F.transform(parts, shape)
+    if depth is None:
+        return shapes
     return F.when(F.size(parts) > depth, F.concat(F.slice(shapes, 1, depth), F.array(F.lit("{rest}")))).otherwise(shapes)
 
 
@@ -65,11 +66,12 @@ def rule_of(host: str, path: str, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def template_tree(paths: DataFrame, depth: int = DEPTH, max_branches: int = 16, rare: float = 0.02, z: float = 2.58) -> DataFrame:
+def template_tree(paths: DataFrame, max_branches: int = 16, rare: float = 0.02, z: float = 2.58) -> DataFrame:
     """From (host, shape array, n, labelled, bad) the same rows with ``template``, the generalised array."""
     tree, old = scratch.stage(paths.withColumn("template", F.col("shape")), "templates")
+    depth = tree.agg(F.coalesce(F.max(F.size("shape")), F.lit(0)).alias("depth")).first()["depth"]
     for d in range(1, depth + 1):
-        here = tree.where(F.size("template") >= d).select("*", F.array_join(F.slice("template", 1, d - 1), "/").alias("prefix"), F.element_at("template", d).alias("seg"), F.xxhash64(F.slice("template", d + 1, depth + 1)).alias("suffix"))
+        here = tree.where(F.size("template") >= d).select("*", F.array_join(F.slice("template", 1, d - 1), "/").alias("prefix"), F.element_at("template", d).alias("seg"), F.xxhash64(F.slice("template", d + 1, depth)).alias("suffix"))
         suffixes = here.groupBy("host", "prefix", "seg", "suffix").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         branches = suffixes.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.bit_xor("suffix").alias("below"))
         literal = branches.where("not seg like '{%'")
@@ -82,14 +84,14 @@ def template_tree(paths: DataFrame, depth: int = DEPTH, max_branches: int = 16,
         gap = F.when((F.col("labelled") > 0) & (others > 0), F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - other_bad / F.greatest(others, F.lit(1))) / F.sqrt(share * (1 - share) * (1.0 / F.greatest("labelled", F.lit(1)) + 1.0 / F.greatest(others, F.lit(1))))).otherwise(0.0)
         variable = (F.col("width") > max_branches) & (F.col("n") / F.col("of_node") < rare)
         merged = judged.where(variable | ((F.col("siblings") > 1) & (gap < z))).select("host", "prefix", "seg", F.lit("*").alias("to"))
-        longer = here.join(merged, ["host", "prefix", "seg"], "left").withColumn("template", F.when(F.col("to").isNotNull(), F.concat(F.slice("template", 1, d - 1), F.array("to"), F.slice("template", d + 1, depth + 1))).otherwise(F.col("template")))
+        longer = here.join(merged, ["host", "prefix", "seg"], "left").withColumn("template", F.when(F.col("to").isNotNull(), F.concat(F.slice("template", 1, d - 1), F.array("to"), F.slice("template", d + 1, depth))).otherwise(F.col("template")))
         tree, new = scratch.stage(longer.select(*tree.columns).unionByName(tree.where(F.size("template") < d)), "templates")
         scratch.drop(paths.sparkSession, old)
         old = new
     return tree
 
 
-def url_filter(pages: DataFrame, labels: DataFrame, url: str = "url", label_key: Column | None = None, rules=RULES, reject_share: float = 0.5, weight: float = 4.0, min_labelled: int = 5, depth: int = DEPTH) -> DataFrame:
+def url_filter(pages: DataFrame, labels: DataFrame, url: str = "url", label_key: Column | None = None, rules=RULES, reject_share: float = 0.5, weight: float = 4.0, min_labelled: int = 5, depth: int | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict, template and bad_share (both null where no template was rejected).
 
     ``labels`` has ``key`` and ``bad`` (boolean); ``label_key`` gives the key of a page.
@@ -100,7 +102,7 @@ def url_filter(pages: DataFrame, labels: DataFrame, url: str = "url", label_key:
     counts = keys.groupBy(F.col("_host").alias("host"), F.col("_shape").alias("shape")).agg(F.count("*").alias("n"))
     known = keys.where("key is not null").join(labels.select("key", F.col("bad").cast("long").alias("bad")).where("key is not null and bad is not null"), "key").groupBy(F.col("_host").alias("host"), F.col("_shape").alias("shape")).agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
     paths = counts.join(known, ["host", "shape"], "left").fillna(0, ["labelled", "bad"])
-    tree = template_tree(paths, depth)
+    tree = template_tree(paths)
     total = tree.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("prior"))
     prior = float(total.first()["prior"])
     templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("bad_share", (F.col("bad") + weight * prior) / (F.col("labelled") + weight))

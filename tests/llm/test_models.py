@@ -40,6 +40,15 @@ def test_templates_block_only_bad_branches(spark):
     assert url_filter(pages.limit(0), labels).count() == 0
 
 
+def test_templates_tell_deep_branches_apart(spark):
+    urls = [(i, f"http://deep.test/2024/05/01/en/news/local/{('good', 'spam')[i % 2]}/x/{i}") for i in range(200)]
+    urls += [(1000, "http://deep.test/2024/05/01/en/news/local/spam"), (1001, "http://deep.test/" + "/".join("abcdefghijklmnopqrst"))]
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(0, 200)], "key long, bad boolean")
+    got = {r.page_id: r for r in url_filter(spark.createDataFrame(urls, "page_id long, url string"), labels, label_key=F.col("page_id")).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(200))
+    assert got[1].template == "/{n}/{n}/{n}/en/news/local/spam/x/{n}" and got[1000].verdict == got[1001].verdict == "allow"
+
+
 def test_gam_learns_main_effects_and_pairs():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 3))
