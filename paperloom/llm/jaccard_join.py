@@ -38,9 +38,10 @@ from paperloom.llm.line_dedup import _mix
 from paperloom.llm.shared import key_bitmap, maybe_in, text_batches
 from paperloom.operators.components import connected_components
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
-STEP = 24
+#: Values that pruning looks at, and how many at a time.
+SIGNS, STEP = 120, 24
 #: Classes and n-grams of a chunk, at most (one large document may have more n-grams).
 BLOCK, BLOCK_GRAMS = 256, 400_000
 _rng = np.random.default_rng(11)
@@ -62,10 +63,10 @@ def grams(text: str, n: int = 5) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minhash(g: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def minhash(g: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    out = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(g), 2048):
-        np.minimum(out, (g[i : i + 2048, None] * _A + _B).min(axis=0), out=out)
+        np.minimum(out, (g[i : i + 2048, None] * _A[:hashes] + _B[:hashes]).min(axis=0), out=out)
     return out
 
 
@@ -118,7 +119,7 @@ def _sets(n: int):
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 found = [grams(t, n) for t in _texts(part, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(minhash(g) >> np.uint64(32)).astype(np.uint32).tobytes() for g in found], pa.binary()), pa.array([g.tobytes() for g in found], pa.binary())], names=["doc", "sig", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(minhash(g, SIGNS) >> np.uint64(32)).astype(np.uint32).tobytes() for g in found], pa.binary()), pa.array([g.tobytes() for g in found], pa.binary())], names=["doc", "sig", "grams"])
 
     return run
 
@@ -203,7 +204,7 @@ def _links(threshold: float, tolerance: float):
 def similar_documents(df: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, component_id (smallest id reachable by links), n_links (documents linked directly) and kept, for every row."""
     if not 0.5 <= threshold <= 1:
-        raise ValueError("the bands are laid out for thresholds from 0.5 on; recall at 0.8 is 0.9999")
+        raise ValueError("the bands are laid out for thresholds from 0.5 on; recall at 0.8 is 0.999999")
     spark = df.sparkSession
     text_batches(spark)
     id_type = df.schema[doc_id].dataType.simpleString()

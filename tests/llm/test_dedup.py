@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import line_dedup
+from paperloom.llm import jaccard_join, line_dedup
 from paperloom.llm.embedding_dedup import near_vectors
 from paperloom.llm.exact_dedup import exact_dedup, normalised
 from paperloom.llm.jaccard_join import least_matches, one_of_each, similar_documents
@@ -104,6 +104,12 @@ def test_pruning_bound_falls_with_tolerance():
     assert least_matches(120, 0.8, 1e-6) < 96
 
 
+def test_bands_miss_no_more_than_pruning():
+    assert (1 - 0.8**jaccard_join.ROWS) ** jaccard_join.BANDS <= 1e-6
+    sig = jaccard_join.minhash(jaccard_join.grams("one two three four five six seven"))
+    assert len(set(jaccard_join.bands(sig).tolist())) == jaccard_join.BANDS
+
+
 def edit_within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
