@@ -5,16 +5,20 @@ Every scan partition packs its own documents, in batches of at most
 that runs again packs the same rows the same way. In a batch, documents are
 first cut into full windows; what remains of each is placed, longest first,
 into the open window with the least room that still fits it. A segment tree
-over room (0 to the window's size) finds that room. Windows that end with much
-room are filled with pieces cut from the emptiest ones, and what is left over is cut
-at powers of two, which need no padding.
+over room (0 to the window's size) finds that room. Windows that end with at
+most ``slack`` tokens of room stay as they are. The others keep their pieces and
+are filled up, fullest first: the emptiest window is taken apart, the longest of
+its pieces that fits goes in whole, and where none fits the shortest is cut. What
+is left of the last window is cut at powers of two, which need no padding.
 
 A document is its ids and the closing id, so a null or empty text is one
-token. A null doc_id is kept. Repeated rows are packed once for each row.
+token. Ids may be of any type; a null one is kept. Repeated rows are packed
+once for each row.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,44 +89,47 @@ def plan(lengths: list[int], size: int, slack: int = SLACK) -> list[list[tuple[i
         done += [[(d, at, size)] for at in range(0, n - size + 1, size)]
         if n % size:
             rest.append((d, n - n % size, n % size))
-    packed = [[rest[i] for i in w] for w in best_fit_decreasing([r[2] for r in rest], size)]
     used = lambda w: sum(p[2] for p in w)
-    packed.sort(key=lambda w: -used(w))
-    first = next((i for i, w in enumerate(packed) if size - used(w) > slack), len(packed))
-    done += packed[:first]
-    loose = packed[first:]
-    lo, hi = 0, len(loose) - 1
-    while lo < hi:  # the emptiest window gives to the fullest
-        room = size - used(loose[lo])
-        while room and lo < hi:
-            d, at, n = loose[hi].pop()
-            take = min(room, n)
-            loose[lo].append((d, at, take))
-            if take < n:
-                loose[hi].append((d, at + take, n - take))
-            if not loose[hi]:
-                loose.pop()
+    packed = sorted(([rest[i] for i in w] for w in best_fit_decreasing([r[2] for r in rest], size)), key=used, reverse=True)
+    pool: list[tuple[int, int, int]] = []  # (length, document, start) of the pieces of windows taken apart, by length
+    lo, hi = 0, len(packed)
+    while lo < hi:
+        room = size - used(packed[lo])
+        if room <= slack:
+            done.append(packed[lo])
+            lo += 1
+            continue
+        while room:
+            if not pool:
+                if lo + 1 == hi:
+                    break
                 hi -= 1
+                pool = sorted((n, d, at) for d, at, n in packed[hi])
+            fits = bisect_right(pool, (room, len(lengths), 0))
+            n, d, at = pool.pop(max(0, fits - 1))
+            take = min(n, room)  # the longest piece that fits, or a cut of the shortest
+            packed[lo].append((d, at, take))
+            if take < n:
+                insort(pool, (n - take, d, at + take))
             room -= take
-        done.append(loose[lo])
+        if room and room > slack:
+            pool = sorted((n, d, at) for d, at, n in packed[lo])
+        else:
+            done.append(packed[lo])
         lo += 1
-    if lo == hi:
-        last = loose[lo]
-        left = used(last)
-        while left:
-            part = 1 << (left.bit_length() - 1)
-            if size - left <= slack:
-                part = left
-            left -= part
-            seq = []
-            while part:
-                d, at, n = last.pop()
-                take = min(part, n)
-                seq.append((d, at, take))
-                if take < n:
-                    last.append((d, at + take, n - take))
-                part -= take
-            done.append(seq)
+    left = sum(p[0] for p in pool)
+    while left:  # less than a window is left
+        part = left if size - left <= slack else 1 << (left.bit_length() - 1)
+        left -= part
+        seq = []
+        while part:
+            n, d, at = pool.pop()
+            take = min(part, n)
+            seq.append((d, at, take))
+            if take < n:
+                pool.append((n - take, d, at + take))
+            part -= take
+        done.append(seq)
     return done
 
 
@@ -133,19 +140,17 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1,
     """
     schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), *[T.StructField(n, T.LongType(), False) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")], T.StructField("ids", T.BinaryType(), False)])
 
-    def flush(names: list, docs: list[np.ndarray], base: int) -> Iterator[pa.RecordBatch]:
+    def flush(names: list[pa.Array], docs: list[np.ndarray], base: int) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays(names)
         rows: list[tuple] = []
-        sequences = plan([len(x) for x in docs], size)
-        for k, seq in enumerate(sequences):
+        for k, seq in enumerate(plan([len(x) for x in docs], size)):
             offset = 0
             for d, at, n in seq:
-                rows.append((names[d], at, n, len(docs[d]), base + k, offset, docs[d][at : at + n].tobytes()))
+                rows.append((d, at, n, len(docs[d]), base + k, offset, docs[d][at : at + n].tobytes()))
                 offset += n
         for i in range(0, len(rows), 4096):
             part = list(zip(*rows[i : i + 4096], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], id_type), *[pa.array(c, pa.int64()) for c in part[1:6]], pa.array(part[6], pa.binary())], names=schema.names)
-
-    id_type = pa.int64() if isinstance(df.schema[doc_id].dataType, T.LongType) else None
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(part[0])), *[pa.array(c, pa.int64()) for c in part[1:6]], pa.array(part[6], pa.binary())], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,8 +161,8 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1,
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                for name, t in zip(part.column(0).to_pylist(), pc.fill_null(part.column(1).cast(pa.string()), "").to_pylist(), strict=True):
-                    names.append(name)
+                names.append(part.column(0))
+                for t in pc.fill_null(part.column(1).cast(pa.string()), "").to_pylist():
                     docs.append(np.array([*c.encode(t), end_id], dtype="<u4"))
                     total += len(docs[-1])
                 if total >= batch_tokens:
