@@ -1,7 +1,8 @@
 """Operator 3: byte-level BPE encoding and decoding by tree concatenation.
 
-Ordinary text is encoded directly: its pre-tokens are short. A pre-token
-longer than ``LONG`` characters (text without a split) is halved until its
+Ordinary text is encoded directly: its pre-tokens are short. A text with a
+pre-token that may be long is split into pre-tokens as a whole, since where one
+ends depends on what follows it. A pre-token longer than ``LONG`` characters (text without a split) is halved until its
 leaves are short, the leaves are encoded in parallel threads, and the results
 are joined up the tree. At each join the last and first few tokens are encoded
 again in a window that doubles until its first token equals the left side's
@@ -44,6 +45,31 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def check_supported(file: dict) -> None:
+    """Raise for a tokenizer file with settings that this codec would encode differently."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    merged = ["".join(m) if not isinstance(m, str) else m.replace(" ", "") for m in model.get("merges", [])]
+    ranks = [model["vocab"].get(m, -1) for m in merged]
+    wrong = [
+        name
+        for name, bad in {
+            "model.type": model.get("type") not in (None, "BPE"),
+            "model.dropout": model.get("dropout"),
+            "model.byte_fallback": model.get("byte_fallback"),
+            "model.ignore_merges": model.get("ignore_merges"),
+            "model.continuing_subword_prefix": model.get("continuing_subword_prefix"),
+            "model.end_of_word_suffix": model.get("end_of_word_suffix"),
+            "model.merges (ids must follow the order of the merges)": ranks != sorted(ranks) or -1 in ranks,
+            "normalizer": file.get("normalizer"),
+            "pre_tokenizer": split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True),
+            "added_tokens": any(t.get(k) for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip")),
+        }.items()
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"tokenizer settings that aren't supported: {', '.join(wrong)}")
+
+
 class Codec:
     """Encoder and decoder for one vocabulary file of the tokenizers library (byte-level BPE)."""
 
@@ -52,6 +78,7 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        check_supported(file)
         byte_of = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         vocab = {k: v for k, v in file["model"]["vocab"].items() if k not in self.special}
@@ -60,27 +87,10 @@ class Codec:
         self.whole = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         blank = r"\p{White_Space}"  # Python's \s also takes the separators 1C to 1F
         self.pattern = regex.compile(PATTERN.replace(r"[^\s", f"[^{blank}").replace(r"\s", blank).replace(r"\S", r"\P{White_Space}"))
-        self.blank = regex.compile(blank)
         self.long, self.leaf = long, leaf
         self.runs = regex.compile(rf"\p{{L}}{{{long},}}|\p{{N}}{{{long},}}|[^{blank}\p{{L}}\p{{N}}]{{{long},}}|{blank}{{{long},}}")
         self.pool = None
 
-    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(is one long pre-token, part of the text), in order."""
-        at = 0
-        for run in self.runs.finditer(text):
-            begin, end = run.span()
-            if begin < at:
-                begin = at
-            last = [m.span() for m in self.pattern.finditer(text[at : begin + 8])][-1]
-            start = at + last[0]
-            if self.blank.match(text[begin]) and end < len(text):
-                end -= 1  # the last blank goes with what follows
-            yield False, text[at:start]
-            yield True, text[start:end]
-            at = end
-        yield False, text[at:]
-
     def bpe(self, piece: bytes) -> list[int]:
         return self.core._encode_single_piece(piece)
 
@@ -122,8 +132,10 @@ class Codec:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            for long, piece in self.pieces(part):
-                out += self.tree(piece.encode()) if long else self.core.encode_ordinary(piece)
+            # the split of the whole part: where a pre-token ends depends on what follows it
+            for m in self.pattern.finditer(part):
+                piece = m[0].encode()
+                out += self.tree(piece) if len(m[0]) >= self.long else self.bpe(piece)
         return out
 
     def decode(self, ids) -> str:
