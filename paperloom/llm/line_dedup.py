@@ -1,8 +1,9 @@
 """Operator 8: near-duplicate lines over the whole corpus by a deletion-neighbourhood join.
 
-Lines are compared lower-cased, trimmed and with single blanks; those shorter
-than ``min_chars`` are left alone. A line goes if an equal line, or one within
-one edit of it, comes earlier in the order of (doc_id, line number).
+Lines are compared lower-cased, trimmed and with single blanks; blank lines are
+left alone. A line goes if an equal line comes earlier in the order of (doc_id,
+line number), or, where both have ``min_chars`` characters, one within one edit
+of it: in a shorter line an edit makes another word.
 
 Equal lines meet by hash. Two different lines within one edit share, after
 deleting at most one character of each, a variant: every line emits the hash
@@ -24,9 +25,11 @@ The most frequent lines (boilerplate), a list of bounded size, are dropped where
 documents are read, so that neither they nor the documents that hold no other
 repeated line are moved.
 
-Null text stays null. Documents with a null id are left alone. Rows with the
-same id count as one document. Ties cannot occur otherwise. Lines in a document
-that repeats itself go as well. A document may end with an empty text.
+Null text stays null. Documents with a null id are left alone. A document is its
+id and its text: rows with the same id and different texts are documents of
+their own, in the order of a hash of their texts, and rows with the same id and
+text are one and end alike. Lines in a document that repeats itself go as well.
+A document may end with an empty text.
 """
 
 from __future__ import annotations
@@ -39,8 +42,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import scratch
-from paperloom.llm.shared import key_bitmap, maybe_in
+from paperloom.llm.shared import fresh, key_bitmap, maybe_in
 
+#: Characters of a line that takes part in the join on one edit, at least.
 MIN_CHARS = 16
 BLOCKS = 16
 #: Hot lines: at most so many, occurring so often at least, of so many characters at most.
@@ -110,19 +114,24 @@ def neighbourhood(line: str) -> np.ndarray:
     return np.concatenate([h.whole(), h.without(np.arange(h.n))])
 
 
-def lines_of(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """(doc, line_no, line, norm, h1, h2) of each line that is compared."""
+def document(doc_id: str, text: str) -> Column:
+    """What tells documents apart and orders them: the id, and a hash of the text for ids that repeat."""
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("text"))
+
+
+def lines_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, line_no, line, norm, h1, h2) of each line that isn't blank."""
     whole = F.col(text).cast("string")
     # only runs and odd blanks are replaced, so most texts are merely searched; lower-casing keeps line breaks
     plain = F.regexp_replace(F.lower(whole), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
     both = F.arrays_zip(F.split(whole, "\n").alias("line"), F.split(plain, "\n").alias("plain"))
-    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.posexplode(both).alias("line_no", "l"))
-    norm = rows.select("doc", "line_no", F.col("l.line").alias("line"), F.trim("l.plain").alias("norm")).where(F.length("norm") >= min_chars)
+    rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(document(doc_id, text).alias("doc"), F.posexplode(both).alias("line_no", "l"))
+    norm = rows.select("doc", "line_no", F.col("l.line").alias("line"), F.trim("l.plain").alias("norm")).where("norm <> ''")
     return norm.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
 
 
-def kept_parts(norm: str) -> Column:
-    """Hashes of what one edit can leave of a line, so that two lines within one edit share one.
+def kept_parts(norm: str, min_chars: int) -> Column:
+    """Hashes of what one edit can leave of a line, so that two lines within one edit share one; null for a line under ``min_chars``.
 
     With L the longer one's length, an edit leaves the first two thirds, the
     last two thirds, or the first and the last third. A line may be the longer
@@ -136,7 +145,7 @@ def kept_parts(norm: str) -> Column:
         return [F.xxhash64(length, F.lit(0), left(f)), F.xxhash64(length, F.lit(1), right(f)), F.xxhash64(length, F.lit(2), left(g), right(g))]
 
     n = F.length(norm)
-    return F.array(*three(n), *three(n + 1))
+    return F.when(n >= min_chars, F.array(*three(n), *three(n + 1)))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], make: Callable[[dict], list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +182,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_lines(lines: Callable[[DataFrame], DataFrame], unique: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier one within one edit.
 
-    ``lines`` gives the lines of the documents that a bitmap of hashed ids
-    names; ``unique``: h1, h2, first, parts.
+    ``lines`` gives the lines of the documents that a bitmap of hashes names;
+    ``unique``: h1, h2, first, parts.
     """
     parts = unique.select("h1", "h2", F.explode("parts").alias("part"))
     shared = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
@@ -183,8 +192,8 @@ def near_lines(lines: Callable[[DataFrame], DataFrame], unique: DataFrame) -> Da
     alive, alive_path = scratch.stage(alive, "lines")
     # each distinct line's text from its first place
     found = lines(key_bitmap(alive.select(F.xxhash64("first.doc").alias("key")), "key"))
-    found = maybe_in(found, "h1", key_bitmap(alive, "h1")).where("maybe").select("doc", "line_no", "norm")
-    texts = alive.select("h1", "h2", "first", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")).join(found, ["doc", "line_no"]).select("h1", "h2", "first", "norm").dropDuplicates(["h1", "h2"])
+    found = maybe_in(found, "h1", key_bitmap(alive, "h1")).where("maybe").select("doc", "line_no", "h1", "h2", "norm")
+    texts = alive.select("h1", "h2", "first", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")).join(found, ["doc", "line_no", "h1", "h2"]).select("h1", "h2", "first", "norm").dropDuplicates(["h1", "h2"])
     texts, texts_path = scratch.stage(texts, "texts")
     blocks, blocks_path = scratch.stage(texts.select("h1", "h2", "norm").mapInArrow(_blocks, "h1 bigint, h2 bigint, longer int, block int, key bigint"), "blocks")
     shared = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -216,27 +225,29 @@ class Hot:
     """
 
     def __init__(self, decided: DataFrame, df: DataFrame, doc_id: str, text: str):
-        top = decided.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "h1", "h2").limit(HOT).select(F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_no"))
+        top = decided.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "h1", "h2").limit(HOT).select(F.col("first.doc").alias("doc"), F.col("first.line_no").alias("no"))
         # at most HOT rows are broadcast, and as many lines come to the driver
-        places = df.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(top), "_doc").select("_doc", F.get(F.split("_text", "\n"), F.col("_no")).alias("line"))
+        places = df.select(document(doc_id, text).alias("doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(top), "doc").select(F.xxhash64("doc").alias("key"), F.get(F.split("text", "\n"), F.col("no")).alias("line"))
         rows = places.where(F.length("line") <= HOT_CHARS).distinct().select("*", F.xxhash64("line").alias("raw")).collect()
         self.lines, self.raw = [r["line"] for r in rows], [r["raw"] for r in rows]
-        self.first = [r["_doc"] for r in rows]
+        self.first = [r["key"] for r in rows]
 
-    def drops(self, doc: Column, line: Column) -> Column:
-        return line.isin(self.lines) & ~doc.isin(self.first) if self.lines else F.lit(False)
+    def drops(self, key: Column, line: Column) -> Column:
+        """Whether a line of the document with this hash is a hot one and surely not its first."""
+        return line.isin(self.lines) & ~key.isin(self.first) if self.lines else F.lit(False)
 
 
 def decide(df: DataFrame, doc_id: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame, Hot]:
     """(marked, decided, hot): all lines (doc, line_no, h1, h2), the repeated ones (h1, h2, first, near, n), and the hot ones."""
-    marked = lines_of(df, doc_id, text, min_chars).withColumn("parts", kept_parts("norm"))
+    marked = lines_of(df, doc_id, text).withColumn("parts", kept_parts("norm", min_chars))
     marked, _ = scratch.stage(marked.select("doc", "line_no", "h1", "h2", F.xxhash64("line").alias("raw"), "parts"), "marked")
     unique = marked.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"), F.first("parts").alias("parts"))
     unique, unique_path = scratch.stage(unique, "unique")
 
     def of_documents(bitmap: DataFrame) -> DataFrame:
-        asked = maybe_in(df.withColumn("_key", F.xxhash64(F.col(doc_id))), "_key", bitmap)
-        return lines_of(asked.where("maybe"), doc_id, text, min_chars)
+        asked = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+        asked = maybe_in(asked.withColumn("key", F.xxhash64(document("id", "text"))), "key", bitmap)
+        return lines_of(asked.where("maybe"), "id", "text")
 
     near = near_lines(of_documents, unique).withColumn("near", F.lit(True))
     decided = unique.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), "n")
@@ -248,24 +259,26 @@ def decide(df: DataFrame, doc_id: str, text: str, min_chars: int) -> tuple[DataF
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, count: str | None = None) -> DataFrame:
     """``df`` with the repeated lines taken out of ``text``; ``count``, if named, gets the number of lines that went."""
     marked, decided, hot = decide(df, doc_id, text, min_chars)
-    easy = F.col("raw").isin(hot.raw) & ~F.col("doc").isin(hot.first) if hot.raw else F.lit(False)
+    easy = F.col("raw").isin(hot.raw) & ~F.xxhash64("doc").isin(hot.first) if hot.raw else F.lit(False)
     placed = maybe_in(marked.where(~easy), "h1", key_bitmap(decided, "h1")).where("maybe").drop("maybe").join(decided, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") != F.col("first")))
     gone, _ = scratch.stage(placed.groupBy("doc").agg(F.collect_set("line_no").alias("gone")), "gone")
-    key = lambda d: d.select(F.xxhash64("doc").alias("_key"))
+    mine = fresh(df.columns)
+    key, cold, warm, of_id, of_text, lost, left, n = (mine + x for x in ("key", "cold", "hot", "id", "text", "lost", "lines", "n"))
+    keys = lambda d: d.select(F.xxhash64("doc").alias(key))
     # documents without a repeated line are not touched, and those with hot ones alone are not moved
-    asked = df.withColumn("_key", F.xxhash64(F.col(doc_id)))
-    for name, keys in (("_cold", key(gone)), ("_hot", key(marked.where(easy)))):
-        asked = maybe_in(asked, "_key", key_bitmap(keys, "_key"), name=name)
-    asked = asked.drop("_key")
+    asked = df.withColumn(key, F.xxhash64(document(doc_id, text)))
+    for name, some in ((cold, keys(gone)), (warm, keys(marked.where(easy)))):
+        asked = maybe_in(asked, key, key_bitmap(some, key), name=name)
     lines = F.split(F.col(text).cast("string"), "\n")
-    moved = asked.where("_cold").join(gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_lost")), F.col(doc_id) == F.col("_doc"), "left").drop("_doc")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_lost", F.array().cast("array<int>")))
-    by_place = F.transform(left, lambda i: F.get(lines, i))
-    doc = F.col(doc_id)
+    named = gone.select(F.col("doc.id").alias(of_id), F.col("doc.text").alias(of_text), F.col("gone").alias(lost))
+    moved = asked.where(F.col(cold)).join(named, (F.col(doc_id) == F.col(of_id)) & (document(doc_id, text)["text"] == F.col(of_text)), "left").drop(of_id, of_text)
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(lost, F.array().cast("array<int>")))
+    by_place = F.transform(rest, lambda i: F.get(lines, i))
+    stays = lambda x: ~hot.drops(F.col(key), x)
     # in one expression: what is left by place, then without the hot lines
-    rest = asked.where("not _cold").withColumn("_lines", F.when(F.col("_hot") & doc.isNotNull() & F.col(text).isNotNull(), F.filter(lines, lambda x: ~hot.drops(doc, x))))
-    moved = moved.withColumn("_lines", F.when((F.col("_lost").isNotNull() | F.col("_hot")) & F.col(text).isNotNull(), F.filter(by_place, lambda x: ~hot.drops(doc, x)))).drop("_lost")
-    both = rest.unionByName(moved)
-    n = F.when(F.col("_lines").isNull(), 0).otherwise(F.size(lines) - F.size("_lines")).cast("int")
-    both = both.withColumn("_n", n).withColumn(text, F.when(F.col("_n") > 0, F.array_join("_lines", "\n")).otherwise(F.col(text)))
-    return (both.withColumn(count, F.col("_n")) if count else both).drop("_n", "_lines", "_cold", "_hot")
+    unmoved = asked.where(~F.col(cold)).withColumn(left, F.when(F.col(warm) & F.col(doc_id).isNotNull() & F.col(text).isNotNull(), F.filter(lines, stays)))
+    moved = moved.withColumn(left, F.when((F.col(lost).isNotNull() | F.col(warm) & F.col(doc_id).isNotNull()) & F.col(text).isNotNull(), F.filter(by_place, stays))).drop(lost)
+    both = unmoved.unionByName(moved)
+    both = both.withColumn(n, F.when(F.col(left).isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("int"))
+    both = both.withColumn(text, F.when(F.col(n) > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
+    return (both.withColumn(count, F.col(n)) if count else both).drop(key, cold, warm, left, n)

@@ -104,8 +104,9 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as tex
     "op8_line_dedup": r"""
 with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as k, unnest(string_split(text, chr(10))) as line from documents),
 m as (select *, trim(regexp_replace(lower(line), '[ \t\x0B\f\r]+', ' ', 'g')) as n from l),
-u as (select n, min((doc_id, k)) as place from m where length(n) >= 16 group by n),
-v as (select n, place, hash(n) as h from u union all select n, place, unnest(list_transform(range(1, length(n) + 1), lambda i: hash(n[1:i - 1] || n[i + 1:]))) from u),
+u as (select n, min((doc_id, k)) as place from m where n <> '' group by n),
+w as (select * from u where length(n) >= 16),
+v as (select n, place, hash(n) as h from w union all select n, place, unnest(list_transform(range(1, length(n) + 1), lambda i: hash(n[1:i - 1] || n[i + 1:]))) from w),
 near as (select distinct a.n from v a join v b on a.h = b.h and b.place < a.place where levenshtein(a.n, b.n) <= 1),
 x as (select m.*, coalesce(u.place <> (m.doc_id, m.k), false) or near.n is not null as gone from m left join u on m.n = u.n left join near on m.n = near.n),
 t as (select doc_id, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by k) filter (not gone), '') as t from x group by doc_id)

@@ -19,15 +19,39 @@ def key_bitmap(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     return keys.where(f"{key} is not null").select(F.expr(f"cast(shiftrightunsigned({slot}, 6) as int) as word"), F.expr(f"shiftleft(1L, cast({slot} & 63L as int)) as bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
+def fresh(columns: list[str]) -> str:
+    """A prefix that none of the columns starts with, for helper columns beside a caller's own."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS, name: str = "maybe") -> DataFrame:
     """``df`` with the boolean column ``name``: false only if the key surely isn't among those of the bitmap.
 
     The broadcast side has a proven size bound (see FILTER_BITS), so rows are
     tested where they are read and the rest never enters a shuffle.
     """
-    slot = _slot(key, bits)
-    joined = df.withColumn("_word", F.expr(f"cast(shiftrightunsigned({slot}, 6) as int)")).join(F.broadcast(bitmap.withColumnsRenamed({"word": "_word", "bits": "_bits"})), "_word", "left")
-    return joined.withColumn(name, F.expr(f"coalesce((shiftrightunsigned(_bits, cast({slot} & 63L as int)) & 1L) = 1L, false)")).drop("_word", "_bits")
+    slot, mine = _slot(key, bits), fresh(df.columns)
+    word, held = f"{mine}word", f"{mine}bits"
+    placed = df.withColumn(word, F.expr(f"cast(shiftrightunsigned({slot}, 6) as int)"))
+    joined = placed.join(F.broadcast(bitmap.withColumnsRenamed({"word": word, "bits": held})), word, "left")
+    return joined.withColumn(name, F.expr(f"coalesce((shiftrightunsigned({held}, cast({slot} & 63L as int)) & 1L) = 1L, false)")).drop(word, held)
+
+
+def deal_blocks(df: DataFrame, group: list[str], rows: int, per_task: int) -> DataFrame:
+    """Deal the blocks (pairs of chunks ``one`` <= ``two`` of a group) to tasks in turn, each whole, sorted by ``group``, one, two and chunk.
+
+    A large group's blocks go to tasks one after another, so no two meet in
+    one while another has none, as they would by a hash. ``rows``: how many
+    there are; each task gets about ``per_task``, if there are partitions enough.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(most, -(-rows // per_task)))
+    place = F.xxhash64(*group) + F.expr("cast(two as long) * (two + 1) div 2 + one")
+    key = [*group, "one", "two"]
+    return df.repartitionById(tasks, F.pmod(place, F.lit(tasks)).cast("int")).sortWithinPartitions(*key, "chunk")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -143,7 +143,7 @@ def test_lines_equal_brute_force(spark, monkeypatch, hot):
                 x = rng.choice([x[:at] + x[at + 1 :], x[:at] + "z" + x[at:], x[:at] + "q" + x[at + 1 :]])
             lines.append(x.upper() if rng.random() < 0.1 else x)
         docs[d] = "\n".join(lines)
-    docs |= {100: None, 101: "", 102: "\n\n", 103: "a" * 5000, 104: "a" * 4999, 105: "tab\tand   blanks in here", 106: "Tab and blanks in here"}
+    docs |= {100: None, 101: "", 102: "\n\n", 103: "a" * 5000, 104: "a" * 4999, 105: "tab\tand   blanks in here", 106: "Tab and blanks in here", 107: "short\n\nshorT\n}", 108: " short \nshore\n}\n}\n ", 109: "fifteen chars ab\nfifteen chars a", 110: "fifteen chars a\nfifteen chars b"}
     norm = lambda x: " ".join(x.lower().split())
     earlier, expect = [], {}
     for d in sorted(docs):
@@ -153,10 +153,9 @@ def test_lines_equal_brute_force(spark, monkeypatch, hot):
         kept = []
         for x in docs[d].split("\n"):
             n = norm(x)
-            if len(n) < 16 or not any(edit_within_one(n, e) for e in earlier):
+            if not n or n not in earlier and (len(n) < 16 or not any(len(e) >= 16 and edit_within_one(n, e) for e in earlier)):
                 kept.append(x)
-            if len(n) >= 16:
-                earlier.append(n)
+            earlier.append(n)
         expect[d] = "\n".join(kept)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumns({"gone": F.lit(1), "maybe": F.lit(2), "norm": F.lit("x")}).repartition(3)
     rows = dedup_lines(df, count="n_removed").collect()
@@ -164,6 +163,28 @@ def test_lines_equal_brute_force(spark, monkeypatch, hot):
     assert {"gone", "norm"} <= set(dedup_lines(df.drop("maybe")).columns)
 
 
+def test_lines_of_repeated_ids(spark):
+    """Rows with the same id and different texts are documents of their own; no line goes that nothing repeats."""
+    df = spark.createDataFrame([(1, "a shared long line of text here\nfoo bar"), (5, "a shared long line of text here\nsecond"), (5, "a wholly different first line for five\nthird"), (5, "a wholly different first line for five\nthird")], "doc_id long, text string")
+    assert sorted(r.text for r in dedup_lines(df).collect()) == sorted(["a shared long line of text here\nfoo bar", "second"] + ["a wholly different first line for five\nthird"] * 2)
+
+
+def test_hot_lines_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 2)
+    hot = "the same long line again and again"
+    df = spark.createDataFrame([(3, hot), (3, "tiny"), (92, hot + "\ntiny bit"), *[(100 + i, hot) for i in range(70)]], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in dedup_lines(df).collect())
+    assert got[:3] == [(3, hot), (3, "tiny"), (92, "tiny bit")] and {t for _, t in got[3:]} == {""}
+
+
+def test_lines_keep_clashing_columns(spark):
+    names = ["_n", "_lines", "_cold", "_hot", "_key", "_word", "_bits", "__key", "maybe", "doc", "h1", "first"]
+    df = spark.createDataFrame([(i, "one long line that repeats\nword") for i in range(3)], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    rows = dedup_lines(df).collect()
+    assert [c for c in rows[0].asDict()] == df.columns and all(r[c] == c for r in rows for c in names)
+    assert sorted(r.text for r in rows) == ["", "", "one long line that repeats\nword"]
+
+
 def test_lines_odd_ids(spark):
     df = spark.createDataFrame([(None, "this is a long line here"), (None, "this is a long line here"), (3, "this is a long line here"), (3, "this is a long line here")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in dedup_lines(df).collect()) == [(0, "this is a long line here")] * 2 + [(3, "this is a long line here")] * 2
