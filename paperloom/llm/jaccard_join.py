@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from paperloom import scratch
 from paperloom.llm.embedding_dedup import grouped
 from paperloom.llm.line_dedup import _mix
-from paperloom.llm.shared import key_bitmap, maybe_in, text_batches
+from paperloom.llm.shared import deal_blocks, fresh, key_bitmap, maybe_in, text_batches
 from paperloom.operators.components import connected_components
 
 BANDS, ROWS = 36, 5
@@ -224,8 +224,9 @@ def similar_documents(df: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     scratch.drop(spark, met_path)
     members = clusters.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "size", "copies"), "rep")
     members, members_path = scratch.stage(members, "members")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("chunks"))
-    split = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("chunks"))
+    rows = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("chunks")), F.lit(0))).first()[0]
+    split = members.join(sizes.drop("n"), "component").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = split.select(F.col("rep").alias("doc"), "component", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "copies")
     wanted, _ = scratch.stage(key_bitmap(members.select(F.xxhash64("rep").alias("key")), "key"), "wanted")
     asked = maybe_in(base.withColumn("_key", F.xxhash64("doc")), "_key", wanted).where("maybe").select("doc", "text")
@@ -233,7 +234,7 @@ def similar_documents(df: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     if repeated:
         own = known.select(F.col("doc").alias("_d"), "size")
         sets = sets.join(own, (F.col("doc") == F.col("_d")) & (F.octet_length("grams") == F.col("size") * 8)).drop("_d", "size")
-    dealt = placed.join(sets, "doc").select("component", "one", "two", "chunk", "doc", "copies", "sig", "grams").repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", "chunk", "doc")
+    dealt = deal_blocks(placed.join(sets, "doc").select("component", "one", "two", "chunk", "doc", "copies", "sig", "grams"), ["component"], rows, 2 * block)
     found, _ = scratch.stage(dealt.mapInArrow(_links(threshold, tolerance), f"doc {id_type}, root {id_type}, links bigint"), "links")
     scratch.drop(spark, members_path)
     groups = connected_components(found, "doc", "root").select(F.col("node").alias("rep"), "component")
@@ -249,7 +250,9 @@ def similar_documents(df: DataFrame, threshold: float = 0.8, n: int = 5, toleran
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """``df`` without the documents that are not the smallest of their group."""
-    gone, _ = scratch.stage(similar_documents(df, doc_id=doc_id, **options).where("not kept").select(F.col("doc_id").alias("_gone"), F.xxhash64("doc_id").alias("_key")), "gone")
-    asked = maybe_in(df.withColumn("_key", F.xxhash64(F.col(doc_id))), "_key", key_bitmap(gone, "_key")).drop("_key")
-    kept = asked.where("maybe").join(gone.select("_gone"), F.col(doc_id) == F.col("_gone"), "left_anti")
-    return asked.where("not maybe").unionByName(kept).drop("maybe")
+    mine = fresh(df.columns)
+    key, lost, maybe = f"{mine}key", f"{mine}gone", f"{mine}maybe"
+    gone, _ = scratch.stage(similar_documents(df, doc_id=doc_id, **options).where("not kept").select(F.col("doc_id").alias(lost), F.xxhash64("doc_id").alias(key)), "gone")
+    asked = maybe_in(df.withColumn(key, F.xxhash64(F.col(doc_id))), key, key_bitmap(gone, key), name=maybe).drop(key)
+    kept = asked.where(F.col(maybe)).join(gone.select(lost), F.col(doc_id) == F.col(lost), "left_anti")
+    return asked.where(~F.col(maybe)).unionByName(kept).drop(maybe)
