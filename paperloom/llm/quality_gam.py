@@ -10,7 +10,8 @@ function of a sum of looked-up values, added for whole batches at once.
 The model is fitted on at most ``SAMPLE`` labelled rows (those with the
 smallest hash of the id), a documented bound; every row is scored by its whole
 text. Null text counts as empty and gets a score like any other. Null labels
-are left out, repeated labels of an id count once (the smallest). With no
+are left out, repeated labels of an id count once (the smallest), as do
+repeated documents of an id (those with the smallest features). With no
 labels every score is 1, so nothing is rejected; with one class only, all
 scores are its smoothed share.
 """
@@ -171,7 +172,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, pairs:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_pydict({"y": b.column(1), "x": pa.array([features(t) for t in pc.fill_null(b.column(0).cast(pa.string()), "").to_pylist()], pa.list_(pa.float64()))})
+        yield pa.RecordBatch.from_pydict({"id": b.column(1), "y": b.column(2), "x": pa.array([features(t) for t in pc.fill_null(b.column(0).cast(pa.string()), "").to_pylist()], pa.list_(pa.float64()))})
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", use: Column | None = None, sample: int = SAMPLE) -> Gam:
@@ -182,7 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = rows.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` rows of two numbers are broadcast
     text_batches(docs.sparkSession)
-    found = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select(text, "_y").mapInArrow(_feature_rows, "y double, x array<double>").toArrow()
+    picked = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select(text, F.xxhash64("_id").alias("id"), "_y")
+    rows = picked.mapInArrow(_feature_rows, "id bigint, y double, x array<double>")
+    # an id that repeats counts once, with its least row, so no more than ``sample`` rows come to the driver
+    found = rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("row")).select("row.x", "row.y").toArrow()
     x = np.array(found.column("x").to_pylist(), dtype=float).reshape(found.num_rows, len(FEATURES))
     y = found.column("y").to_numpy()
     order = np.lexsort((*x.T, y))  # the order of rows doesn't depend on the partitions
