@@ -58,7 +58,7 @@ def segment_shapes(path: str, depth: int | None = None) -> Column:
 def rule_of(host: str, path: str, rules=RULES) -> tuple[Column, Column]:
     """(rule, its verdict), null where none fits: the longest one that fits host and path; of equal lengths the first in order."""
     rule = verdict = F.lit(None).cast("string")
-    for kind, text in sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=False):
+    for kind, text in sorted(reversed(rules), key=lambda r: len(r[1])):  # the last one that fits wins
         at = text.find("/") if "/" in text else len(text)
         name, start = text[:at].lower(), text[at:]
         fits = ((F.col(host) == name) | F.col(host).endswith("." + name)) & F.col(path).startswith(start)

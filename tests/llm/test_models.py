@@ -18,6 +18,13 @@ def test_url_parts_and_rules(spark):
     assert got == [("a.example.com", "/en/7", "example.com/en/7", "allow"), ("example.net", "/de/88", "example.net/de/8", "block"), ("", "", None, None), ("", "", None, None), ("org", "", None, None), ("b.org", "/es/1", "org/es/", "block"), ("É.com", "/en/", "com/en/", "block"), ("xcom", "/en/1", None, None), ("a", "", None, None), ("example.com", "/en/7/://z", "example.com/en/7", "allow")]
 
 
+def test_first_of_equally_long_rules_wins(spark):
+    df = spark.createDataFrame([("a.b.com", "/xy")], "host string, path string")
+    for rules in ([("block", "a.b.com/"), ("allow", "b.com/xy")], [("allow", "b.com/xy"), ("block", "a.b.com/")]):
+        rule, verdict = rule_of("host", "path", rules)
+        assert tuple(df.select(verdict, rule).first()) == tuple(rules[0])
+
+
 def test_shapes(spark):
     df = spark.createDataFrame([("/a/12/2020-01-02/0123456789ab.html/x/y/z",), ("",), (None,)], "path string")
     got = [r[0] for r in df.select(segment_shapes("path", 5)).collect()]
@@ -69,6 +76,9 @@ def test_quality_frame(spark):
     by = {r.doc_id: r.score for r in rows}
     assert all(by[i] > 0.7 for i, *_ in good) and all(by[i] < 0.3 for i, *_ in bad)
     assert all(r.score > 0.99 for r in score(docs, train(docs, labels.limit(0))).collect())
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id = 3").withColumn("text", F.lit("BUY!! " * 9)))
+    assert {r.doc_id: r.score for r in score(docs, train(again.where("doc_id <> 3"), labels)).collect()} == {r.doc_id: r.score for r in score(docs, train(docs.where("doc_id <> 3"), labels)).collect()}
+    assert score(docs, train(again, labels)).count() == docs.count()
     assert score(docs.limit(0), train(docs.limit(0), labels)).count() == 0
     assert len(features("")) == len(FEATURES) == len(features("a\nb"))
 
