@@ -27,16 +27,18 @@ def normalised(text: str) -> Column:
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX, **carry: Column) -> DataFrame:
     """doc_id, keep_id (the largest of equal texts), group_size and kept for every row, with the ``carry`` columns, which are computed at the scan."""
-    # the text's columns are computed twice from the source, and never moved
-    read = df.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("_norm"), *[c.alias(n) for n, c in carry.items()])
-    keyed = read.withColumns({"_len": F.octet_length("_norm"), "_prefix": F.xxhash64(F.octet_length("_norm"), F.substring("_norm", 1, prefix))})
+    # the text's columns are computed twice from the source, and never moved; lower-casing A-Z changes neither the
+    # number of bytes nor where the first characters end, so length and prefix need no lower-cased text
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    read = df.select(F.col(doc_id).alias("doc_id"), whole.alias("_text"), *[c.alias(n) for n, c in carry.items()])
+    keyed = read.withColumns({"_len": F.octet_length("_text"), "_prefix": F.xxhash64(F.octet_length("_text"), ascii_lower(F.substring("_text", 1, prefix)))})
     # by length
     by_length = keyed.select("_len", "_prefix").groupBy("_len", "_prefix").agg(F.count("*").alias("n"))
     lengths = by_length.groupBy("_len").agg(F.sum("n").alias("of_length")).where("of_length > 1").select("_len")
     # by prefix, among those
     prefixes = by_length.where("n > 1").join(lengths, "_len", "left_semi").select("_prefix")
     # by content, among those
-    rows = maybe_in(keyed, "_prefix", key_bitmap(prefixes, "_prefix")).withColumn("_full", F.when(F.col("maybe"), F.sha2("_norm", 256)))
+    rows = maybe_in(keyed, "_prefix", key_bitmap(prefixes, "_prefix")).withColumn("_full", F.when(F.col("maybe"), F.sha2(ascii_lower(F.col("_text")), 256)))
     groups = rows.where("_full is not null").groupBy("_len", "_full").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
     # rows without a full hash get a key of their own, which spreads them and meets no group
     rows = rows.select("doc_id", *carry, "_len", F.coalesce("_full", F.col("doc_id").cast("string"), F.lit("")).alias("_full"))
