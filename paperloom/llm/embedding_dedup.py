@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import scratch
+from paperloom.llm.shared import deal_blocks
 from paperloom.operators.components import connected_components
 
 
+@lru_cache(maxsize=4)
 def rotation(d: int, seed: int) -> np.ndarray:
-    """A random rotation of d dimensions."""
+    """A random rotation of d dimensions, kept by each worker."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))
     return q * np.sign(np.diag(r))
 
@@ -57,16 +60,13 @@ def encode_vectors(df: DataFrame, vec_id: str, vector: str, label: str, seed: in
     """vec_id, label, unit vector (double), code and factor of all rows that can be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
         for b in batches:
             rows = to_matrix(b.column(1))
             for d in sorted({len(x) for x in rows if x is not None}):
                 at = [i for i, x in enumerate(rows) if x is not None and len(x) == d]
                 x = np.array([rows[i] for i in at])
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                if d not in turns:
-                    turns[d] = rotation(d, seed)
-                turned = x @ turns[d]
+                turned = x @ rotation(d, seed)
                 signs = turned >= 0
                 factor = np.abs(turned).sum(axis=1) / math.sqrt(d)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([np.packbits(s).tobytes() for s in signs], pa.binary()), pa.array(factor)], names=names)
@@ -143,7 +143,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[dict]]
         yield held
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 1024, seed: int = 7) -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 4096, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``df``."""
     spark = df.sparkSession
     id_type = df.schema[vec_id].dataType.simpleString()
@@ -158,15 +158,15 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id",
     if copied:
         one, one_path = scratch.stage(coded.join(classes.select(F.col("rep").alias("vec_id"), "copies"), "vec_id"), "classes")
     wide = one.withColumn("width", F.length("unit"))
-    sizes, sizes_path = scratch.stage(wide.groupBy("label", "width").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")), "sizes")
-    placed = wide.join(sizes, ["label", "width"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+    sizes, sizes_path = scratch.stage(wide.groupBy("label", "width").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"), F.count("*").alias("n")), "sizes")
+    placed = wide.join(sizes.drop("n"), ["label", "width"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    key = ["label", "width", "one", "two"]
-    dealt = spread.select("label", "width", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "vec_id", "unit", "code", "factor", "copies").repartition(*key).sortWithinPartitions(*key, "chunk", "vec_id")
+    rows = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("chunks")), F.lit(0))).first()[0]
+    dealt = deal_blocks(spread.select("label", "width", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "vec_id", "unit", "code", "factor", "copies"), ["label", "width"], rows, 2 * block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in grouped(batches, len(key)):
+        for rows in grouped(batches, 4):
             if rows[0]["one"] != rows[0]["two"] and rows[0]["chunk"] == rows[-1]["chunk"]:
                 continue
             rows[0]["seed"] = seed
