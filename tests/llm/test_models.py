@@ -96,6 +96,70 @@ def test_page_text():
     assert Page("a < b").text(0) == "a < b"
 
 
+def test_words_in_names_alone_drop_nothing():
+    stays = ['<div class="social-history">', '<div class="related-work">', '<div id="search-algorithms">', "<fieldset>", '<p title="the hidden = gem">', '<div class="cookie-recipes">', '<section id="comment-on-kant">', '<div class="share-prices">', '<div class="header">', '<div class="advent">', '<div class="menu">', '<header class="entry-header">', '<p class="notice-period">', '<div aria-hidden="true">']
+    goes = ['<div class="ad">', '<div class="ad-slot-3 wide">', '<div class="cookie-notice">', '<div id="comments">', '<ol class="comment-list">', '<div class="userComments">', '<div class="sidebar left">', '<div role="navigation">', "<p hidden>", '<p style="display: none">', "<aside>", "<form>", '<div class="site-notice">', '<div class="newsletter-box">']
+    body = "".join(f"{t}<b>kept {i}</b>{'</p>' if t[1] == 'p' else ''}</{t[1:].split('>')[0].split()[0]}>" for i, t in enumerate(stays))
+    body += "".join(f"{t}gone {i}</{t[1:].split('>')[0].split()[0]}>" for i, t in enumerate(goes))
+    body += '<div class="related-posts"><a href=x>gone too</a> and</div><math><mi>x</mi></math><div class="widget"><a href=x>gone</a></div><p>One <span class="ad">gone</span>two</p>'
+    p = Page(f'<body><div class="notice">gone</div><div class="header">gone</div><article>{body}</article></body>')
+    assert p.text(p.best()[0]).split("\n") == [*[f"kept {i}" for i in range(len(stays))], "x", "One two"]
+    whole = Page('<div class="sidebar"><form><main><p>All of the page</p></main></form></div>')
+    assert whole.text(whole.best()[0]) == "All of the page"
+
+
+def rendered(rng, blocks, depth=0):
+    """Random markup, with the blocks' texts appended to ``blocks`` in page order."""
+    out = ""
+    for _ in range(rng.integers(1, 4)):
+        kind = rng.integers(0, 8)
+        words = " ".join(f"w{rng.integers(1000)}" for _ in range(rng.integers(1, 9)))
+        if kind <= 2:
+            blocks.append(words + " & more")
+            out += f"<p>{words.replace(' ', rng.choice([' ', chr(10) + '  ', '<br>', ' <i>', '</b> ']))} &amp; more</p>"
+        elif kind == 3 and depth < 4:
+            out += f"<div class='{rng.choice(['a', 'related-work', 'x9'])}'>{rendered(rng, blocks, depth + 1)}</div>"
+        elif kind == 4:
+            blocks += [words, words + "2"]
+            out += f"<ul><li>{words}<li>{words}2</ul>"
+        elif kind == 5:
+            out += rng.choice(["<aside>{}</aside>", "<div class='ad'><p>{}</p></div>", "<script>{}</script>", "<!-- {} -->", "<form><p>{}</form>", "<div id=comments><p>{}</p></div>"]).format(words)
+        elif kind == 6:
+            blocks.append(words)
+            out += f"<h2>{words}</h2>"
+        else:
+            blocks.append(f"{words} é <{words}>")
+            out += f"<blockquote>{words} &eacute; &lt;{words}&gt;</blockquote>"
+    return out
+
+
+def test_pages_equal_what_was_rendered(spark):
+    rng = np.random.default_rng(8)
+    pages, expect = [], {}
+    for i in range(300):
+        blocks: list[str] = []
+        body = rendered(rng, blocks)
+        pages.append((i, f"http://h{i % 7}.test/{i}", f"<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><header>top</header><article class='post-{i}'>{body}</article><footer>foot</footer></body></html>"))
+        expect[i] = "\n".join(" ".join(b.split()) for b in blocks)
+    got = {r.page_id: r.text for r in extract_main(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == expect
+
+
+def test_deep_and_long_pages_stay_linear():
+    import time
+    import tracemalloc
+
+    began = time.perf_counter()
+    tracemalloc.start()
+    page = Page("<div class='a b'>" * 100_000 + "<p>deep</p>" + "</i>" * 1000)
+    assert page.extract([page.key[-1]]) == page.text(page.best()[0]) == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    wide = Page("<div class='x'><p>one <b>two</b></p></div>" * 50_000)
+    assert wide.extract([wide.key[1]]).count("\n") == 49_999
+    assert time.perf_counter() - began < 60
+
+
 def test_consensus_paths(spark):
     body = "<div class='main'><p>{0} first long paragraph of text here.</p></div><div class='links'><p>{1}</p></div>"
     pages = [(i, f"http://h.test/{i}", "<body>" + body.format(i, "rubbish " * (40 if i == 3 else 1)) + "</body>") for i in range(9)]
