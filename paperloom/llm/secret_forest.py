@@ -1,7 +1,8 @@
 """Operator 10: secret scanning with a random forest that removes false positives.
 
-Candidates are runs of token characters with a digit, and values that follow
-a key such as ``password=``. Each is described by its length, character
+Candidates are runs of token characters with a digit, values that follow a key
+such as ``password=``, passwords in connection strings, and private keys in PEM
+blocks. Each is described by its length, character
 classes and transitions, the share that dictionary words cover, the path of
 its document and its neighbouring words. A random forest, trained from
 labelled findings, scores it. Trees are compiled to SQL expressions over the
@@ -15,6 +16,7 @@ redacted everywhere. Empty tables give empty results. ``path`` may be null or mi
 
 from __future__ import annotations
 
+import json
 import random
 from functools import reduce
 
@@ -22,20 +24,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled findings that the built-in model is trained on.
-FINDINGS = 3000
+FINDINGS = 4000
 #: Tokens: a run of 12 or more token characters with a digit in it.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{12})[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
 #: Values: what follows a key and : or =.
 VALUE = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[^\s\"'<>]{6,}"
 VALUE_GROUP = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>]{6,})"
+#: Passwords between the user's name and the host of a connection string.
+CREDENTIAL = r"(?<=://)[^\s:/@]{1,64}:[^\s/@\"'<>]{6,128}(?=@)"
+CREDENTIAL_GROUP = r"(?<=://)[^\s:/@]{1,64}:([^\s/@\"'<>]{6,128})(?=@)"
+#: Private keys with their armour.
+PEM = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.()-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----"
+#: Base64 that ends with its padding.
+PADDED = r"^(?:[A-Za-z0-9+/_-]{4})+(?:[A-Za-z0-9+/_-]{2}==|[A-Za-z0-9+/_-]{3}=)$"
 NEAR = 40
 #: Words of the coverage dictionary, of placeholders, keys and digests.
 WORDS = "about access account address after again also always and another api are article author back base been before best between body book build button call can change check city class client code color comment common config content core could country create data date day default demo design detail different dev document down each edit email end error event example file find first for form free from function game general get getting good great group guide have header health help here high home house how html http https image index info item java key large last level life like line link list local log long made mail main make many map media member menu message model more most name need new news next not note number office old one only open order other out over page part people photo place plan play point post price product profile program project public question read real report research result review right room safe sale sample school science search section server service set should show simple site size small some sport start state stock store story style system table tag team test text that the their them then there these they thing this time title today tool top topic travel two type update user using value version video view want was water web week well were what when where which who will with word work world would year you your".split()
-PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|your|changeme|xxxx|0000|1234567|test|fake|redacted|lorem"
+PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|your|changeme|xxxx|0000|1234567|test|fake|redacted|lorem|\$\{|\{\{|%\(|environ|getenv|process\.env"
 KEYS = r"(?i)passw(or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private"
 DIGESTS = r"(?i)sha-?\d*|md5|commit|checksum|digest|uuid|guid|isbn|doi|etag|build|revision|session|order|invoice|phone"
 PREFIXES = r"^(AKIA|ASIA|gh[pousr]_|xox[abp]-|sk[-_](live|test)?|AIza|eyJ|glpat-|npm_)"
-FEATURES = ["length", "digits", "uppers", "distinct", "transitions", "covered", "vowels", "slashes", "hex", "uuid", "prefix", "assigned", "key_near", "digest_near", "placeholder", "test_path", "url_near"]
+FEATURES = ["length", "digits", "uppers", "distinct", "transitions", "covered", "vowels", "slashes", "hex", "uuid", "prefix", "assigned", "key_near", "digest_near", "placeholder", "test_path", "url_near", "pem", "credential", "padded", "lower_only"]
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -52,6 +61,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
         F.length(F.regexp_replace(classes, r"(.)\1*", "$1")) / n, 1 - F.length(left) / n, F.length(F.regexp_replace(value, "[^aeiouAEIOU]", "")) / n, F.length(F.regexp_replace(value, "[^/_-]", "")) / n,
         flag(value.rlike(r"^[0-9a-fA-F]+$")), flag(value.rlike(r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")), flag(value.rlike(PREFIXES)), flag(before.rlike(r"[:=]\s*[\"']?$")),
         flag(before.rlike(KEYS)), flag(before.rlike(DIGESTS)), flag(value.rlike(PLACEHOLDER) | near.rlike(PLACEHOLDER)), flag(F.coalesce(path, F.lit("")).rlike(r"(?i)test|example|fixture|mock|docs?/|sample")), flag(before.rlike(r"(?i)(https?:|www\.|/)\S*$")),
+        flag(value.startswith("-----BEGIN")), flag(before.rlike(r"://[^\s:/@]+:$")), flag(value.rlike(PADDED)), flag(value.rlike(r"^[a-z]+$")),
     ]
     return [c.cast("double") for c in found]
 
@@ -68,24 +78,29 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
     for i in range(n):
         before, after, path = words(r.randint(0, 6)) + " ", " " + words(r.randint(0, 3)), r.choice(["src/main.py", "app/config.yml", "web", "notes.md", "src7", "deploy/env"])
         if i % 2:
-            kind = r.randint(0, 8)
+            kind = r.randint(0, 13)
             value = [
                 lambda: "AKIA" + some(_UPPER + "234567", 16), lambda: some(hexes, r.choice([18, 20, 32, 40, 64])), lambda: some(alnum + "+/", 40), lambda: r.choice(["ghp_", "gho_"]) + some(alnum, 36),
                 lambda: "sk-" + some(alnum, r.randint(24, 48)), lambda: some(alnum, r.randint(16, 40)), lambda: some(alnum + "_-", r.randint(20, 44)), lambda: "eyJ" + some(alnum, r.randint(30, 60)), lambda: some(alnum + "!@#%", r.randint(9, 16)),
+                lambda: "".join(r.choice(WORDS) for _ in range(r.randint(4, 6))), lambda: some(_LOWER, r.randint(14, 24)), lambda: r.choice(WORDS) + some(_DIGIT, r.randint(1, 4)) + r.choice(["!", "pass", "#", ""]) + some(alnum, 3), lambda: some(alnum + "+/", 4 * r.randint(5, 12) - 2) + "==",
+                lambda: (lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(some(alnum + "+/", 64) for _ in range(r.randint(1, 6))) + f"\n-----END {kind}PRIVATE KEY-----")(r.choice(["", "RSA ", "EC ", "OPENSSH "])),
             ][kind]()
-            if kind not in (0, 3, 4, 7) or r.random() < 0.4:
+            if kind == 11 and r.random() < 0.5:
+                before, after = before + r.choice(["postgres", "mysql", "amqp", "https", "redis"]) + "://" + r.choice(["admin", "root", word()]) + ":", "@" + word() + after
+            elif kind != 13 and (kind not in (0, 3, 4, 7) or r.random() < 0.4):
                 before += key()
             rows.append((value, before[-NEAR:], after[:NEAR], path, 1.0))
             continue
-        kind = r.randint(0, 9)
+        kind = r.randint(0, 12)
         value = [
             lambda: "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)), lambda: some(hexes, r.choice([32, 40, 64])), lambda: "-".join(word() for _ in range(r.randint(2, 5))) + "-" + some(_DIGIT, r.randint(1, 4)), lambda: some(_DIGIT, r.randint(12, 18)),
             lambda: r.choice(["your_api_key_", "EXAMPLE_KEY_", "changeme", "xxxxxxxxxxxx", "dummy-token-", "test_password_"]) + some(_DIGIT, r.randint(1, 4)), lambda: r.choice("xX0*a") * r.randint(12, 24) + "1", lambda: "/".join(word() for _ in range(3)) + "/" + some(_DIGIT, r.randint(3, 6)),
             lambda: "".join(word().title() for _ in range(3)) + some(_DIGIT, r.randint(1, 3)), lambda: word() + "_" + word() + "_v" + some(_DIGIT, 2), lambda: f"20{r.randint(10, 29)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}",
+            lambda: (word() + word() + word())[: r.randint(6, 12)].ljust(6, "e"), lambda: r.choice(["${", "{{", "%("]) + word().upper() + r.choice(["_KEY", "_TOKEN", ""]) + r.choice(["}", "}}", ")s"]), lambda: r.choice(["os.environ", "process.env.", "getenv("]) + word().upper(),
         ][kind]()
         if kind == 1:
             before += r.choice(["commit ", "sha256:", "md5: ", "checksum=", "digest: ", "revision "])
-        elif kind == 4 and r.random() < 0.7:
+        elif kind >= 10 or kind == 4 and r.random() < 0.7:
             before += key()
         elif kind == 6:
             before += r.choice(["https://www.", "http://", "/"])
@@ -112,10 +127,8 @@ def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = 1
     from pyspark.ml.functions import array_to_vector
 
     if findings is None:
-        import pyarrow as pa
-
-        columns = list(zip(*labelled_findings(), strict=True))
-        findings = spark.createDataFrame(pa.table(dict(zip(["value", "before", "after", "path", "label"], columns, strict=True))))
+        rows = json.dumps([dict(zip(("value", "before", "after", "path", "label"), row, strict=True)) for row in labelled_findings()])
+        findings = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(rows), "array<struct<value: string, before: string, after: string, path: string, label: double>>")))
     x = F.array(*features(F.col("value"), F.col("before"), F.col("after"), F.col("path")))
     rows = findings.select(array_to_vector(x).alias("features"), F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=5, featureSubsetStrategy="sqrt").fit(rows)
@@ -159,14 +172,18 @@ def find_secrets(df: DataFrame, model=None, text: str = "text", path: str | None
     """
     model = model or train(df.sparkSession)
     t = F.col(text).cast("string")
-    rows = _places(_places(df, t, VALUE, VALUE_GROUP, "_values"), t, TOKEN, None, "_tokens")
+    rows = df
+    for pattern, group, column in ((VALUE, VALUE_GROUP, "_values"), (TOKEN, None, "_tokens"), (CREDENTIAL, CREDENTIAL_GROUP, "_credentials"), (PEM, None, "_keys")):
+        rows = _places(rows, t, pattern, group, column)
 
     def strip(m: Column) -> Column:
         rest = F.regexp_replace(m["value"], r"^[^=]{0,24}=(?=[^=])", "")
-        return F.struct(F.regexp_replace(rest, r"[=.,;)]+$", "").alias("value"), (m["at"] + F.length(m["value"]) - F.length(rest)).alias("at"))
+        bare = F.regexp_replace(rest, r"[.,;)]+$", "")
+        value = F.when(bare.rlike(PADDED), bare).otherwise(F.regexp_replace(bare, r"[=.,;)]+$", ""))
+        return F.struct(value.alias("value"), (m["at"] + F.length(m["value"]) - F.length(rest)).alias("at"))
 
-    matches = F.array_distinct(F.filter(F.transform(F.concat("_values", "_tokens"), strip), lambda m: F.length(m["value"]) >= 6))
-    located = rows.withColumn("_at", matches).drop("_values", "_tokens")
+    stripped = F.filter(F.transform(F.concat("_values", "_tokens"), strip), lambda m: F.length(m["value"]) >= 6)
+    located = rows.withColumn("_at", F.array_distinct(F.concat(stripped, "_credentials", "_keys"))).drop("_values", "_tokens", "_credentials", "_keys")
 
     source = F.col(path) if path else F.lit("")
 
