@@ -3,7 +3,8 @@
 A URL is its host and the segments of its path. Segments that look variable
 (numbers, long hexadecimal strings, UUIDs, dates) become a wildcard of their
 shape where the URL is read, which leaves few distinct paths to work on. Then,
-from the first segment down to the deepest:
+from the first segment down to the deepest that two paths of a host share a
+node above:
 
 * a node of the tree with more than ``max_branches`` literal children that
   are mostly rare gets one wildcard child in their place;
@@ -23,6 +24,8 @@ give empty results; without labels no template is rejected.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +72,13 @@ def rule_of(host: str, path: str, rules=RULES) -> tuple[Column, Column]:
 def template_tree(paths: DataFrame, max_branches: int = 16, rare: float = 0.02, z: float = 2.58) -> DataFrame:
     """From (host, shape array, n, labelled, bad) the same rows with ``template``, the generalised array."""
     tree, old = scratch.stage(paths.withColumn("template", F.col("shape")), "templates")
-    depth = tree.agg(F.coalesce(F.max(F.size("shape")), F.lit(0)).alias("depth")).first()["depth"]
-    for d in range(1, depth + 1):
-        here = tree.where(F.size("template") >= d).select("*", F.array_join(F.slice("template", 1, d - 1), "/").alias("prefix"), F.element_at("template", d).alias("seg"), F.xxhash64(F.slice("template", d + 1, depth)).alias("suffix"))
+    for d in count(1):
+        # a node under which there is one path only can't branch, at this level or below
+        shared = tree.where(F.size("template") >= d).groupBy("host", F.slice("template", 1, d - 1)).count().where("count > 1")
+        if not shared.limit(1).count():
+            break
+        rest = F.slice(F.col("template"), F.lit(d + 1), F.size("template"))
+        here = tree.where(F.size("template") >= d).select("*", F.array_join(F.slice("template", 1, d - 1), "/").alias("prefix"), F.element_at("template", d).alias("seg"), F.xxhash64(rest).alias("suffix"))
         suffixes = here.groupBy("host", "prefix", "seg", "suffix").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         branches = suffixes.groupBy("host", "prefix", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.bit_xor("suffix").alias("below"))
         literal = branches.where("not seg like '{%'")
@@ -84,7 +91,7 @@ def template_tree(paths: DataFrame, max_branches: int = 16, rare: float = 0.02,
         gap = F.when((F.col("labelled") > 0) & (others > 0), F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - other_bad / F.greatest(others, F.lit(1))) / F.sqrt(share * (1 - share) * (1.0 / F.greatest("labelled", F.lit(1)) + 1.0 / F.greatest(others, F.lit(1))))).otherwise(0.0)
         variable = (F.col("width") > max_branches) & (F.col("n") / F.col("of_node") < rare)
         merged = judged.where(variable | ((F.col("siblings") > 1) & (gap < z))).select("host", "prefix", "seg", F.lit("*").alias("to"))
-        longer = here.join(merged, ["host", "prefix", "seg"], "left").withColumn("template", F.when(F.col("to").isNotNull(), F.concat(F.slice("template", 1, d - 1), F.array("to"), F.slice("template", d + 1, depth))).otherwise(F.col("template")))
+        longer = here.join(merged, ["host", "prefix", "seg"], "left").withColumn("template", F.when(F.col("to").isNotNull(), F.concat(F.slice("template", 1, d - 1), F.array("to"), rest)).otherwise(F.col("template")))
         tree, new = scratch.stage(longer.select(*tree.columns).unionByName(tree.where(F.size("template") < d)), "templates")
         scratch.drop(paths.sparkSession, old)
         old = new

@@ -1,5 +1,7 @@
 """Operators 1, 4, 7 and 10."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,99 @@ def test_templates_tell_deep_branches_apart(spark):
     assert got[1].template == "/{n}/{n}/{n}/en/news/local/spam/x/{n}" and got[1000].verdict == got[1001].verdict == "allow"
 
 
+def brute_templates(paths, max_branches=16, rare=0.02, z=2.58):
+    """The template of each (host, shape), by plain loops over (n, labelled, bad)."""
+    template = {k: list(k[1]) for k in paths}
+    for d in range(max((len(k[1]) for k in paths), default=0)):
+        nodes = {}
+        for k, t in template.items():
+            if len(t) > d:
+                nodes.setdefault((k[0], tuple(t[:d])), {}).setdefault(t[d], []).append(k)
+        to = set()
+        for node, children in nodes.items():
+            literal = {s: (sum(paths[k][0] for k in ks), sum(paths[k][1] for k in ks), sum(paths[k][2] for k in ks), frozenset(tuple(template[k][d + 1 :]) for k in ks)) for s, ks in children.items() if not s.startswith("{")}
+            total = sum(v[0] for v in literal.values())
+            for s, (n, labelled, bad, below) in literal.items():
+                alike = [v for v in literal.values() if v[3] == below]
+                al, ab = sum(v[1] for v in alike), sum(v[2] for v in alike)
+                gap, share = 0.0, (ab + 1) / (al + 2)
+                if labelled and al > labelled:
+                    gap = abs(bad / labelled - (ab - bad) / (al - labelled)) / (share * (1 - share) * (1 / labelled + 1 / (al - labelled))) ** 0.5
+                if len(literal) > max_branches and n / total < rare or len(alike) > 1 and gap < z:
+                    to.add((node, s))
+        for k, t in template.items():
+            if len(t) > d and ((k[0], tuple(t[:d])), t[d]) in to:
+                t[d] = "*"
+    return {k: tuple(t) for k, t in template.items()}
+
+
+def test_url_filter_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows, bad = [], {}
+    for i in range(1500):
+        host, path = f"h{rng.integers(3)}.test", [f"s{rng.integers(4)}", f"t{rng.integers(60) if rng.random() < 0.3 else rng.integers(3)}"][: rng.integers(0, 3)]
+        if rng.random() < 0.8:
+            path.append(rng.choice([f"{i}", f"{i}.html", "2024-01-02", "deadbeef01", "about"]))
+        if rng.random() < 0.1:
+            path += [f"u{rng.integers(2)}"] * int(rng.integers(1, 4))
+        rows.append((i, f"http://{host}/{'/'.join(path)}" + rng.choice(["", "?q=/x", "#f"])))
+        if rng.random() < 0.6:
+            bad[i] = bool(rng.random() < (0.95 if "s1" in path else 0.9 if path[1:2] == ["t2"] else 0.05))
+    rows += [(2000, None), (2001, "none"), (2002, "http://com/en/x"), (2003, "http://h0.test/" + "a/" * 300), (2004, "http://h0.test/" + "b" * 100_000), (2005, rows[0][1]), (2005, rows[0][1])]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    got = url_filter(df, spark.createDataFrame(list(bad.items()), "key long, bad boolean"), label_key=F.col("page_id")).collect()
+    assert len(got) == len(rows)
+    parts = {(r.page_id, r.url): (r.host, r.path) for r in got}
+    shapes = {p: tuple(s or ()) for p, s in spark.createDataFrame([(p,) for p in {v[1] for v in parts.values()}], "path string").select("path", segment_shapes("path")).collect()}
+    paths = {}
+    for i, url in rows:
+        c = paths.setdefault((parts[i, url][0], shapes[parts[i, url][1]]), [0, 0, 0])
+        c[0] += 1
+        c[1] += i in bad
+        c[2] += bad.get(i, False)
+    template = brute_templates(paths)
+    prior = sum(bad.values()) / len(bad)
+    seen = {}
+    for k, (_, labelled, of_bad) in paths.items():
+        c = seen.setdefault((k[0], template[k]), [0, 0])
+        c[0], c[1] = c[0] + labelled, c[1] + of_bad
+    blocked = 0
+    for r in got:
+        k = (r.host, shapes[r.path])
+        labelled, of_bad = seen[k[0], template[k]]
+        reject = labelled >= 5 and (of_bad + 4 * prior) / (labelled + 4) >= 0.5
+        assert r.template == ("/" + "/".join(template[k]) if reject else None), r
+        assert r.verdict == ("block" if r.rule == "com/en/" or reject else "allow")
+        blocked += reject
+    assert 20 < blocked < 1200 and any("*" in t for t in template.values())
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_held_out_quality(spark):
+    """The registered query on rows that nothing was learnt from: ranks and the cut at 0.7."""
+    from paperloom.llm.queries import op4_quality
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = op4_quality(spark, SF).where("held_out").join(labels, "doc_id").where("quality is not null").select("score", "predicted", "quality").collect()
+    good, bad = np.array([r.score for r in rows if r.quality]), np.array([r.score for r in rows if not r.quality])
+    assert len(good) > 20 and len(bad) > 5
+    assert (good[:, None] > bad[None, :]).mean() + (good[:, None] == bad[None, :]).mean() / 2 > 0.98
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.97
+
+
+def test_gam_scores_equal_plain_sums():
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 4)).round(2)
+    m = fit(x, ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float), rounds=20)
+    for row, score_ in zip(x, m.score(x), strict=True):
+        b = [int((c <= v).sum()) for c, v in zip(m.cuts, row, strict=True)]
+        total = m.base + sum(t[k] for t, k in zip(m.tables, b, strict=True)) + sum(t[b[i], b[j]] for i, j, t in m.pairs)
+        assert abs(1 / (1 + np.exp(-total)) - score_) < 1e-12
+
+
 def test_gam_learns_main_effects_and_pairs():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 3))
