@@ -11,10 +11,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def folder(spark: SparkSession) -> str:
@@ -47,6 +51,8 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -55,6 +61,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stage(df, name)[0]
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Drop the tables staged inside when it ends, but for those taken from the list it gives."""
+    token = _made.set([])
+    try:
+        yield (made := _made.get())
+    finally:
+        _made.reset(token)
+    for path in made:
+        drop(spark, path)
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete every table that this application has staged."""
     drop(spark, folder(spark))
