@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom import scratch
-from paperloom.llm.shared import text_batches
+from paperloom.llm.shared import fresh, text_batches
 from paperloom.llm.url_templates import host_of
 
 SHARE = 0.2
@@ -308,9 +308,10 @@ def extract_main(pages: DataFrame, url: str = "url", html: str = "html", out: st
     rest = [c for c in (pages.columns if keep is None else keep) if c != out]
     paths, _ = scratch.stage(host_paths(pages, url, html, share), "paths")
     small = paths.count() <= broadcast_hosts
-    source = pages.select(*[F.col(c) for c in rest], F.col(html).alias("_html"), host_of(url).alias("_host"))
-    winners = paths.select(F.col("host").alias("_host"), F.col("paths").alias("_paths"))
-    joined = source.join(F.broadcast(winners) if small else winners, "_host", "left").select(*rest, "_html", "_paths")
+    page, host, won = (fresh(rest) + x for x in ("html", "host", "paths"))
+    source = pages.select(*[F.col(c) for c in rest], F.col(html).alias(page), host_of(url).alias(host))
+    winners = paths.select(F.col("host").alias(host), F.col("paths").alias(won))
+    joined = source.join(F.broadcast(winners) if small else winners, host, "left").select(*rest, page, won)
     schema = pages.select(*rest).schema.add(T.StructField(out, T.StringType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,9 +26,9 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +56,7 @@ def grams(text: str, n: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     n = min(n, len(words))
-    h = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     total = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         total += _mix(h[k : len(words) - n + 1 + k] * _C[k] + np.uint64(k))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import text_batches
+from paperloom.llm.shared import fresh, text_batches
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = rows.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # at most ``sample`` rows of two numbers are broadcast
     text_batches(docs.sparkSession)
-    picked = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select(text, F.xxhash64("_id").alias("id"), "_y")
+    read = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    picked = read.join(F.broadcast(chosen), "_id").select("text", F.xxhash64("_id").alias("id"), "_y")
     rows = picked.mapInArrow(_feature_rows, "id bigint, y double, x array<double>")
     # an id that repeats counts once, with its least row, so no more than ``sample`` rows come to the driver
     found = rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("row")).select("row.x", "row.y").toArrow()
@@ -196,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, model: Gam, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Add the score, 0 to 1, of each whole text to the columns ``keep`` (all if None)."""
     rest = [c for c in (docs.columns if keep is None else keep) if c != name]
-    source = docs.select(*[F.col(c) for c in rest], F.col(text).cast("string").alias("_text"))
+    source = docs.select(*[F.col(c) for c in rest], F.col(text).cast("string").alias(f"{fresh(rest)}text"))
     schema = docs.select(*rest).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

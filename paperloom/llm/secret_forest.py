@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.shared import fresh
+
 #: Labelled findings that the built-in model is trained on.
 FINDINGS = 4000
 #: Tokens: a run of 12 or more token characters with a digit in it.
@@ -157,12 +159,14 @@ def _places(df: DataFrame, t: Column, pattern: str, group: str | None, name: str
     """
     none = F.array().cast("array<string>")
     hit = t.rlike(pattern)
-    found = df.withColumns({"_gaps": F.when(hit, F.split(t, pattern, -1)).otherwise(none), "_whole": F.when(hit, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)})
-    found = found.withColumn("_part", F.when(hit, F.regexp_extract_all(t, F.lit(group), F.lit(1))).otherwise(none) if group else F.col("_whole"))
-    steps = F.zip_with(F.slice("_gaps", F.lit(1), F.size("_whole")), "_whole", lambda g, w: F.length(g) + F.length(w))
-    found = found.withColumn("_from", _sums(steps))
-    first = F.zip_with("_from", F.arrays_zip("_gaps", "_whole", "_part"), lambda f, z: F.struct(z["_part"].alias("value"), (f + F.length(z["_gaps"]) + F.length(z["_whole"]) - F.length(z["_part"]) + 1).alias("at")))
-    return found.withColumn(name, F.filter(first, lambda m: m["value"].isNotNull() & m["at"].isNotNull())).drop("_gaps", "_whole", "_part", "_from")
+    mine = fresh(df.columns)
+    gaps, every, part, begin = (mine + x for x in ("gaps", "whole", "part", "from"))
+    found = df.withColumns({gaps: F.when(hit, F.split(t, pattern, -1)).otherwise(none), every: F.when(hit, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none)})
+    found = found.withColumn(part, F.when(hit, F.regexp_extract_all(t, F.lit(group), F.lit(1))).otherwise(none) if group else F.col(every))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(every)), every, lambda g, w: F.length(g) + F.length(w))
+    found = found.withColumn(begin, _sums(steps))
+    first = F.zip_with(begin, F.arrays_zip(gaps, every, part), lambda f, z: F.struct(z[part].alias("value"), (f + F.length(z[gaps]) + F.length(z[every]) - F.length(z[part]) + 1).alias("at")))
+    return found.withColumn(name, F.filter(first, lambda m: m["value"].isNotNull() & m["at"].isNotNull())).drop(gaps, every, part, begin)
 
 
 def find_secrets(df: DataFrame, model=None, text: str = "text", path: str | None = None, threshold: float = 0.5, name: str = "findings") -> DataFrame:
@@ -172,8 +176,10 @@ def find_secrets(df: DataFrame, model=None, text: str = "text", path: str | None
     """
     model = model or train(df.sparkSession)
     t = F.col(text).cast("string")
+    mine = fresh(df.columns)
+    values, tokens, credentials, keys, at_, seen_, x_, scores_, secret_ = (mine + x for x in ("values", "tokens", "credentials", "keys", "at", "seen", "x", "scores", "secret"))
     rows = df
-    for pattern, group, column in ((VALUE, VALUE_GROUP, "_values"), (TOKEN, None, "_tokens"), (CREDENTIAL, CREDENTIAL_GROUP, "_credentials"), (PEM, None, "_keys")):
+    for pattern, group, column in ((VALUE, VALUE_GROUP, values), (TOKEN, None, tokens), (CREDENTIAL, CREDENTIAL_GROUP, credentials), (PEM, None, keys)):
         rows = _places(rows, t, pattern, group, column)
 
     def strip(m: Column) -> Column:
@@ -182,8 +188,8 @@ def find_secrets(df: DataFrame, model=None, text: str = "text", path: str | None
         value = F.when(bare.rlike(PADDED), bare).otherwise(F.regexp_replace(bare, r"[=.,;)]+$", ""))
         return F.struct(value.alias("value"), (m["at"] + F.length(m["value"]) - F.length(rest)).alias("at"))
 
-    stripped = F.filter(F.transform(F.concat("_values", "_tokens"), strip), lambda m: F.length(m["value"]) >= 6)
-    located = rows.withColumn("_at", F.array_distinct(F.concat(stripped, "_credentials", "_keys"))).drop("_values", "_tokens", "_credentials", "_keys")
+    stripped = F.filter(F.transform(F.concat(values, tokens), strip), lambda m: F.length(m["value"]) >= 6)
+    located = rows.withColumn(at_, F.array_distinct(F.concat(stripped, credentials, keys))).drop(values, tokens, credentials, keys)
 
     source = F.col(path) if path else F.lit("")
 
@@ -192,12 +198,12 @@ def find_secrets(df: DataFrame, model=None, text: str = "text", path: str | None
         start = F.greatest(at - NEAR, F.lit(1))
         return F.struct(c["value"].alias("value"), at.alias("at"), F.substr(t, start, at - start).alias("before"), F.substr(t, at + F.length(c["value"]), F.lit(NEAR)).alias("after"))
 
-    described = located.withColumn("_seen", F.transform("_at", seen)).withColumn("_x", F.transform("_seen", lambda c: F.array(*features(c["value"], c["before"], c["after"], source))))
-    scores = F.transform("_x", lambda x: forest_score(model, [F.get(x, F.lit(k)) for k in range(len(FEATURES))]))
-    scored = described.withColumn("_scores", scores)
-    secret = F.array_distinct(F.transform(F.filter(F.arrays_zip("_at", "_scores"), lambda z: z["_scores"] >= threshold), lambda z: z["_at"]["value"]))
-    result = F.transform(F.arrays_zip("_at", "_scores"), lambda z: F.struct(z["_at"]["value"].alias("value"), z["_at"]["at"].alias("at"), z["_scores"].alias("score"), F.array_contains("_secret", z["_at"]["value"]).alias("secret")))
-    return scored.withColumn("_secret", secret).withColumn(name, result).drop("_at", "_seen", "_x", "_scores", "_secret")
+    described = located.withColumn(seen_, F.transform(at_, seen)).withColumn(x_, F.transform(seen_, lambda c: F.array(*features(c["value"], c["before"], c["after"], source))))
+    scores = F.transform(x_, lambda x: forest_score(model, [F.get(x, F.lit(k)) for k in range(len(FEATURES))]))
+    scored = described.withColumn(scores_, scores)
+    secret = F.array_distinct(F.transform(F.filter(F.arrays_zip(at_, scores_), lambda z: z[scores_] >= threshold), lambda z: z[at_]["value"]))
+    result = F.transform(F.arrays_zip(at_, scores_), lambda z: F.struct(z[at_]["value"].alias("value"), z[at_]["at"].alias("at"), z[scores_].alias("score"), F.array_contains(secret_, z[at_]["value"]).alias("secret")))
+    return scored.withColumn(secret_, secret).withColumn(name, result).drop(at_, seen_, x_, scores_, secret_)
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:

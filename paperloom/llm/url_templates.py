@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import scratch
-from paperloom.llm.shared import ascii_lower
+from paperloom.llm.shared import ascii_lower, fresh
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -104,20 +104,22 @@ def url_filter(pages: DataFrame, labels: DataFrame, url: str = "url", label_key:
     ``labels`` has ``key`` and ``bad`` (boolean); ``label_key`` gives the key of a page.
     """
     new = ["host", "path", "rule", "verdict", "template", "bad_share"]
-    rows = pages.drop(*[c for c in new if c != url]).withColumns({"_host": host_of(url), "_path": path_of(url)}).withColumn("_shape", segment_shapes("_path", depth))
-    keys = rows.select("_host", "_shape", (label_key if label_key is not None else F.lit(None).cast("long")).alias("key"))
-    counts = keys.groupBy(F.col("_host").alias("host"), F.col("_shape").alias("shape")).agg(F.count("*").alias("n"))
-    known = keys.where("key is not null").join(labels.select("key", F.col("bad").cast("long").alias("bad")).where("key is not null and bad is not null"), "key").groupBy(F.col("_host").alias("host"), F.col("_shape").alias("shape")).agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
+    mine = fresh(pages.columns)
+    host, path, shape = f"{mine}host", f"{mine}path", f"{mine}shape"
+    rows = pages.drop(*[c for c in new if c != url]).withColumns({host: host_of(url), path: path_of(url)}).withColumn(shape, segment_shapes(path, depth))
+    keys = rows.select(host, shape, (label_key if label_key is not None else F.lit(None).cast("long")).alias("key"))
+    counts = keys.groupBy(F.col(host).alias("host"), F.col(shape).alias("shape")).agg(F.count("*").alias("n"))
+    known = keys.where("key is not null").join(labels.select("key", F.col("bad").cast("long").alias("bad")).where("key is not null and bad is not null"), "key").groupBy(F.col(host).alias("host"), F.col(shape).alias("shape")).agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
     paths = counts.join(known, ["host", "shape"], "left").fillna(0, ["labelled", "bad"])
     tree = template_tree(paths)
     total = tree.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("prior"))
     prior = float(total.first()["prior"])
     templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("bad_share", (F.col("bad") + weight * prior) / (F.col("labelled") + weight))
     rejected = templates.where((F.col("bad_share") >= reject_share) & (F.col("labelled") >= min_labelled))
-    blocked = tree.join(rejected.select("host", "template", "bad_share"), ["host", "template"]).select(F.col("host").alias("_host"), F.col("shape").alias("_shape"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "bad_share")
-    rule, by_rule = rule_of("_host", "_path", rules)
-    judged = rows.join(blocked, ["_host", "_shape"], "left").withColumns({"rule": rule, "verdict": F.coalesce(by_rule, F.when(F.col("template").isNotNull(), "block").otherwise("allow"))})
-    return judged.withColumnsRenamed({"_host": "host", "_path": "path"}).drop("_shape")
+    blocked = tree.join(rejected.select("host", "template", "bad_share"), ["host", "template"]).select(F.col("host").alias(host), F.col("shape").alias(shape), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "bad_share")
+    rule, by_rule = rule_of(host, path, rules)
+    judged = rows.join(blocked, [host, shape], "left").withColumns({"rule": rule, "verdict": F.coalesce(by_rule, F.when(F.col("template").isNotNull(), "block").otherwise("allow"))})
+    return judged.withColumnsRenamed({host: "host", path: "path"}).drop(shape)
 
 
 def document_number(url: str = "url") -> Column:
