@@ -28,13 +28,23 @@ from paperloom.session import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def begin(spark: SparkSession) -> None:
+    """Before each stage: the package at the workers, and the driver's memory of the stage before given back.
+
+    Spark's context cleaner drops broadcasts and shuffles when the JVM collects what refers to them, which a
+    driver that has room left may not do for a long time.
+    """
+    ship(spark)
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go.
 
     Null text is scored as an empty one; rows with a null id are scored and never learnt from; each of several
     equal rows gets the same score. Without labels every document stays, and an empty table stays empty.
     """
-    ship(spark)
+    begin(spark)
     model = train(docs, table(spark, sf_dir, "labels"), use=~held_out("_id"))
     return score(docs, model).where("score >= 0.7").select(*COLUMNS)
 
@@ -45,7 +55,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and documents with a null id stay as they are. Rows of one id with different texts are
     documents of their own; equal rows with the same id end alike. ``n_chars`` is counted anew where lines went.
     """
-    ship(spark)
+    begin(spark)
     left = dedup_lines(docs, count="n_gone")
     kept = left.where("n_gone = 0 or trim(text) <> ''")
     return kept.withColumn("n_chars", F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -57,7 +67,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts and null ids have no duplicates and stay. Rows of one id count as one document,
     which stays or goes with all its rows.
     """
-    ship(spark)
+    begin(spark)
     return one_of_each(docs).select(*COLUMNS)
 
 
@@ -66,6 +76,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null text stays null. ``n_chars`` is counted anew where a secret went.
     """
+    begin(spark)
     found = find_secrets(docs, path="source")
     clean = found.withColumn("text", redact(F.col("text"), F.col("findings")))
     hit = F.exists("findings", lambda f: f["secret"])
@@ -77,7 +88,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its closing id. Each row is packed, equal ones too, and a null id is kept.
     """
-    ship(spark)
+    begin(spark)
     return pack(docs, tokenizer_path()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
