@@ -263,15 +263,17 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
     placed = maybe_in(marked.where(~easy), "h1", key_bitmap(decided, "h1")).where("maybe").drop("maybe").join(decided, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "line_no") != F.col("first")))
     gone, _ = scratch.stage(placed.groupBy("doc").agg(F.collect_set("line_no").alias("gone")), "gone")
     mine = fresh(df.columns)
-    key, cold, warm, of_id, of_text, lost, left, n = (mine + x for x in ("key", "cold", "hot", "id", "text", "lost", "lines", "n"))
+    key, cold, warm, of_id, of_text, lost, parts, left, n = (mine + x for x in ("key", "cold", "hot", "id", "text", "lost", "parts", "lines", "n"))
     keys = lambda d: d.select(F.xxhash64("doc").alias(key))
     # documents without a repeated line are not touched, and those with hot ones alone are not moved
     asked = df.withColumn(key, F.xxhash64(document(doc_id, text)))
     for name, some in ((cold, keys(gone)), (warm, keys(marked.where(easy)))):
         asked = maybe_in(asked, key, key_bitmap(some, key), name=name)
-    lines = F.split(F.col(text).cast("string"), "\n")
+    lines = F.col(parts)  # split once: by place, each line is looked up in it
+    asked = asked.withColumn(parts, F.split(F.col(text).cast("string"), "\n"))
     named = gone.select(F.col("doc.id").alias(of_id), F.col("doc.text").alias(of_text), F.col("gone").alias(lost))
-    moved = asked.where(F.col(cold)).join(named, (F.col(doc_id) == F.col(of_id)) & (document(doc_id, text)["text"] == F.col(of_text)), "left").drop(of_id, of_text)
+    moved = asked.where(F.col(cold)).drop(parts).join(named, (F.col(doc_id) == F.col(of_id)) & (document(doc_id, text)["text"] == F.col(of_text)), "left").drop(of_id, of_text)
+    moved = moved.withColumn(parts, F.split(F.col(text).cast("string"), "\n"))
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(lost, F.array().cast("array<int>")))
     by_place = F.transform(rest, lambda i: F.get(lines, i))
     stays = lambda x: ~hot.drops(F.col(key), x)
@@ -281,4 +283,4 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
     both = unmoved.unionByName(moved)
     both = both.withColumn(n, F.when(F.col(left).isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("int"))
     both = both.withColumn(text, F.when(F.col(n) > 0, F.array_join(left, "\n")).otherwise(F.col(text)))
-    return (both.withColumn(count, F.col(n)) if count else both).drop(key, cold, warm, left, n)
+    return (both.withColumn(count, F.col(n)) if count else both).drop(key, cold, warm, parts, left, n)
