@@ -188,6 +188,17 @@ def tfidf(v: Views) -> DataFrame:
     return r6(ve.tfidf(v.table("documents")), "weight")
 
 
+@query("""also t as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) as term from documents), tf as (select doc_id, term, count(*) as tf from t group by 1, 2), v as (select term, sum(tf) as total, count(*) as df from tf group by 1 order by 2 desc, 1 limit 20), n as (select count(*) as n from documents), x as (select doc_id, term, tf * (ln((1.0 + n) / (1 + df)) + 1) as x from tf join v using (term), n) select doc_id, term, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) as weight from x""")
+def tfidf_dense_csv(v: Views) -> DataFrame:
+    """K9: written as a wide table and read back; its cells other than zero."""
+    wide = ve.dense_tfidf(v.table("documents"), max_features=20)
+    path = _out(v, "tfidf")
+    writers.write_csv(wide, path)
+    back = readers.read_csv(v.spark, path, ", ".join(f"`{c}` {'bigint' if c == 'id' else 'double'}" for c in wide.columns))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("term"), F.col(f"`{c}`").alias("weight")) for c in back.columns if c != "id"]))
+    return r6(back.select(F.col("id").alias("doc_id"), cells.alias("c")).select("doc_id", "c.*").where("weight <> 0"), "weight")
+
+
 @query()
 def word2vec_docs(v: Views) -> DataFrame:
     """M28."""
@@ -653,10 +664,43 @@ def kmeans(v: Views) -> DataFrame:
 
 @query()
 def pca_plot(v: Views) -> DataFrame:
-    """M26's stand-in, K13."""
+    """K13."""
     return ve.pca_2d(v.emb())
 
 
+@query()
+def tsne_plot(v: Views) -> DataFrame:
+    """A picture of at most 2,000 vectors."""
+    return ve.tsne_2d(v.emb())
+
+
+@query("select node_id, class_idx, round(e[1], 5) as first_value, round(e[len(e)], 5) as last_value, len(e)::bigint as dim from emb")
+def source_npy(v: Views) -> DataFrame:
+    """Packed vectors written as one matrix and read back by blocks."""
+    import os
+
+    emb = v.emb()
+    path = _out(v, "npy").removeprefix("file://") + ".npy"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    packed = emb.select("node_id", F.concat("embedding", F.array(F.col("node_id").cast("float"), F.col("class_idx").cast("float"))).alias("values"))
+    writers.write_npy(packed, path, order="node_id")
+    back = readers.read_packed(v.spark, path, dim=64, block_rows=128)
+    return back.select(F.col("node_id").cast("long").alias("node_id"), F.col("class_idx").cast("int").alias("class_idx"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first_value"), F.round(F.element_at("embedding", -1).cast("double"), 5).alias("last_value"), F.size("embedding").cast("long").alias("dim"))
+
+
+@query("also d as (select count(*) as n from edges), k as (select source as node_id, count(*) as n_out from edges group by 1) select e.node_id, class_idx, round(e[1], 5) as first_value, coalesce(n_out, 0)::bigint as n_out, n::bigint as n_edges from emb e left join k on k.node_id = e.node_id, d")
+def source_ogb(v: Views) -> DataFrame:
+    """A raw node-property data set, written from the views and read back."""
+    base, emb = _out(v, "ogb"), v.emb().repartition(1).sortWithinPartitions("node_id")
+    for name, lines in (("node-feat", emb.select(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","))), ("node-label", emb.select(F.col("class_idx").cast("string"))), ("edge", v.edges().select(F.concat_ws(",", "source", "target")).coalesce(1))):
+        lines.write.option("compression", "gzip").text(f"{base}/{name}.csv.gz")
+    nodes, edges = readers.read_ogb(v.spark, base)
+    out = edges.groupBy(F.col("source").alias("node_id")).agg(F.count("*").alias("n_out"))
+    total = edges.agg(F.count("*").alias("n_edges"))
+    found = nodes.join(out, "node_id", "left").crossJoin(F.broadcast(total))
+    return found.select("node_id", "class_idx", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first_value"), F.coalesce("n_out", F.lit(0)).cast("long").alias("n_out"), "n_edges")
+
+
 # sinks, read back
 
 

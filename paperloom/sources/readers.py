@@ -201,6 +201,25 @@ def read_packed(spark: SparkSession, path: str, dim: int | None = None, block_ro
     return unpack_vector(df)
 
 
+def read_ogb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a node-property data set in the raw layout of the Open Graph Benchmark.
+
+    ``node-feat``, ``node-label`` and ``edge`` are headerless ``.csv.gz``; a node's id is its line's number. A gzip
+    file can't be split, so one task reads each, and the numbers follow the lines.
+    """
+
+    exists(spark, *[f"{path.rstrip('/')}/{name}.csv.gz" for name in ("node-feat", "node-label", "edge")])
+
+    def lines(name: str) -> DataFrame:
+        rows = spark.read.text(f"{path.rstrip('/')}/{name}.csv.gz")
+        return rows.coalesce(1).select(F.monotonically_increasing_id().alias("node_id"), F.split("value", ",").alias("cells"))
+
+    features = lines("node-feat").select("node_id", F.transform("cells", lambda x: x.cast("float")).alias("embedding"))
+    labels = lines("node-label").select("node_id", F.get("cells", F.lit(0)).cast("double").cast("int").alias("class_idx"))
+    edges = lines("edge").select(F.get("cells", F.lit(0)).cast("long").alias("source"), F.get("cells", F.lit(1)).cast("long").alias("target"))
+    return features.join(labels, "node_id", "left").select("node_id", "class_idx", "embedding"), edges
+
+
 def first_records(df: DataFrame, n: int, order: str | None = None) -> DataFrame:
     """The first n rows, by ``order`` if given."""
     return (df.orderBy(order) if order else df).limit(n)

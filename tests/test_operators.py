@@ -312,3 +312,53 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0)], "t string, event_type string, value double").selectExpr("cast(t as timestamp) as ts", "event_type", "value")
     r = windowed_counts(events).first()
     assert (r.n, r.total) == (2, 3.0)
+
+
+def test_model_embedders_pool_as_their_models_do(spark):
+    import numpy as np
+
+    from paperloom.operators import vectorize as ve
+
+    hidden = np.array([[[1.0, -1.0], [3.0, 5.0], [9.0, 9.0]]])
+    mask = np.array([[1, 1, 0]])
+    assert ve.pool(hidden, mask, "cls").tolist() == [[1, -1]]
+    assert ve.pool(hidden, mask, "masked_mean").tolist() == [[2, 2]]
+    assert ve.pool(hidden, mask, "mean").round(6).tolist() == [[4.333333, 4.333333]]
+    assert np.allclose(ve.pool(hidden, mask, "splade"), np.log1p([[3, 5]]))
+
+    def load():
+        def tokenize(texts, most, padded):
+            words = [t.split()[:most] for t in texts]
+            width = most if padded else max(map(len, words))
+            return np.array([[len(x) for x in w] + [0] * (width - len(w)) for w in words]), np.array([[1] * len(w) + [0] * (width - len(w)) for w in words])
+
+        return tokenize, lambda ids, mask: np.stack([ids, ids * 2.0], axis=2)
+
+    df = spark.createDataFrame([(1, "a bbb"), (2, None), (3, "cc")], "doc_id long, text string")
+    got = {r.doc_id: list(r.embedding) for r in ve.embed(df, ve.model_embedder(load, "bert"), 2).collect()}
+    assert got == {1: [2, 4], 2: [0, 0], 3: [2, 4]}
+    assert {r.doc_id: list(r.embedding) for r in ve.embed(df, ve.model_embedder(load, "distilbert", max_tokens=4), 2).collect()} == {1: [1, 2], 2: [0, 0], 3: [0.5, 1]}
+    assert [ve.batch_for_memory(g) for g in (80, 40, 24, 12, 4, None)] == [32, 32, 16, 12, 8, 8]
+
+
+def test_tsne_keeps_groups_apart():
+    import numpy as np
+
+    from paperloom.operators.vectorize import tsne
+
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.standard_normal((30, 8)) * 0.2 + 4 * np.eye(8)[k] for k in range(3)])
+    y = tsne(x, 10)
+    d = np.linalg.norm(y[:, None] - y[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert (d.argmin(1) // 30 == np.arange(90) // 30).all()
+    assert np.allclose(tsne(x, 10), y) and tsne(x[:1], 1).shape == (1, 2)
+
+
+def test_dense_tfidf_puts_the_id_over_a_term_of_its_name(spark):
+    from paperloom.operators.vectorize import dense_tfidf
+
+    df = spark.createDataFrame([(1, "id word word"), (2, ""), (3, None)], "doc_id long, text string")
+    wide = dense_tfidf(df)
+    assert wide.columns == ["word", "id"]
+    assert sorted((r.id, round(r.word, 6)) for r in wide.collect()) == [(1, 0.894427), (2, 0.0), (3, 0.0)]
