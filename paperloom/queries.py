@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom import scratch
 from paperloom.functions import text as tx
 from paperloom.functions import vector as vec
 from paperloom.operators import composition as co
@@ -573,27 +576,85 @@ def category_frequency(v: Views) -> DataFrame:
 
 # eigenvalues and clustering
 
-_VALUES = [0.0, 0.0, 0.01, 0.05, 0.3, 0.32, 0.9]
-_GAPS = "ev as (select * from (values " + ",".join(f"({i}, {x}::double)" for i, x in enumerate(_VALUES)) + ") t(idx, ev)), g0 as (select idx + 1 as k, ev, lead(ev) over (order by idx) - ev as gap, (lead(ev) over (order by idx) - ev) / (lead(ev) over (order by idx) + 1e-10) as rel from ev), g as (select * from g0 where gap is not null)"
+#: A rising series that both engines compute alike from a whole table: the shares of the classes, added up.
+_GAPS = """shares as (select class_idx, sum(node_id)::bigint as s from nodes group by 1),
+ev as (select 0::bigint as idx, 0::double as ev union all select row_number() over (order by class_idx), (sum(s) over (order by class_idx))::double / (select sum(s) from shares)::double from shares),
+g0 as (select idx + 1 as k, ev, lead(ev) over (order by idx) - ev as gap, (lead(ev) over (order by idx) - ev) / (lead(ev) over (order by idx) + 1e-10) as rel from ev), g as (select * from g0 where gap is not null)"""
 
 
-@query(f"also {_GAPS} select k, ev as eigenvalue, round(gap, 6) as eigen_gap, round(rel, 6) as relative_gap, round(rel / nullif(lag(rel) over (order by k), 0), 6) as gap_ratio from g")
+def _values(v: Views) -> DataFrame:
+    """(idx, eigenvalue): what stands in for eigenvalues, one row a class."""
+    shares = v.nodes().groupBy("class_idx").agg(F.sum("node_id").cast("long").alias("s"))
+    rows, total = shares.orderBy("class_idx").select("s").toArrow().column("s").to_pylist(), 0
+    values = [0.0]
+    for s in rows:
+        total += s
+        values.append(float(total))
+    return sp.eigenvalue_frame(v.spark, [x / values[-1] if x else 0.0 for x in values])
+
+
+@query(f"also {_GAPS} select k::integer as k, round(ev, 6) as eigenvalue, round(gap, 6) as eigen_gap, round(rel, 6) as relative_gap, round(rel / nullif(lag(rel) over (order by k), 0), 6) as gap_ratio from g")
 def eigen_gaps(v: Views) -> DataFrame:
     """W1-W3, D13."""
-    return r6(sp.eigen_gaps(sp.eigenvalue_frame(v.spark, _VALUES)), "eigen_gap", "relative_gap", "gap_ratio")
+    return r6(sp.eigen_gaps(_values(v)), "eigenvalue", "eigen_gap", "relative_gap", "gap_ratio")
 
 
-@query(f"also {_GAPS}, b as (select *, row_number() over (order by rel desc, k) as best from g) select k, ev as eigenvalue, round(gap, 6) as eigen_gap, row_number() over (order by gap desc, k) as gap_rank, round(100 * cume_dist() over (order by gap), 6) as gap_percentile, best = 1 as is_optimal, best = 2 as is_second_choice, best = 3 as is_third_choice from b")
+@query(f"also {_GAPS}, b as (select *, row_number() over (order by rel desc, k) as best from g) select k::integer as k, round(ev, 6) as eigenvalue, round(gap, 6) as eigen_gap, row_number() over (order by gap desc, k) as gap_rank, round(100 * cume_dist() over (order by gap), 6) as gap_percentile, best = 1 as is_optimal, best = 2 as is_second_choice, best = 3 as is_third_choice from b")
 def eigen_gap_table(v: Views) -> DataFrame:
     """W4, W5, L4, L5, P12, D18."""
-    return longs(r6(sp.eigen_gap_table(sp.eigen_gaps(sp.eigenvalue_frame(v.spark, _VALUES))), "eigen_gap", "gap_percentile"), "gap_rank")
+    return longs(r6(sp.eigen_gap_table(sp.eigen_gaps(_values(v))), "eigenvalue", "eigen_gap", "gap_percentile"), "gap_rank")
 
 
-@query(f"also {_GAPS} select (select k from g order by rel desc, k limit 1) as optimal_k, (select k from g order by gap desc, k limit 1) as optimal_k_absolute, round(avg(gap), 6) as mean_gap, round(stddev_pop(gap), 6) as std_gap, (select count(*) from ev where ev < 1e-8) as n_zero, round((select gap from g order by rel desc, k limit 1) / stddev_pop(gap), 6) as gap_significance from g")
+@query(f"""also {_GAPS}, best as (select k, gap, rel from g order by rel desc, k limit 1)
+select best.k::integer as optimal_k, (select k from g order by gap desc, k limit 1)::integer as optimal_k_absolute, round(avg(g.gap), 6) as mean_gap, round(stddev_pop(g.gap), 6) as std_gap, (select count(*) from ev where ev < 1e-8) as n_zero,
+round(best.gap / stddev_pop(g.gap), 6) as gap_significance, round(best.gap, 6) as largest_gap, round(max(g.rel), 6) as largest_relative_gap, round((select max(ev) filter (idx = 1) - max(ev) filter (idx = 0) from ev), 6) as spectral_gap,
+round((select max(ev) filter (idx = 10) / max(ev) filter (idx = 1) from ev), 6) as eigenvalue_decay, round(max(g.rel) / stddev_pop(g.rel), 6) as relative_gap_significance, round(best.gap / avg(g.gap), 6) as largest_gap_ratio from g, best group by best.k, best.gap""")
 def gap_statistics(v: Views) -> DataFrame:
     """A28, M24, M25."""
-    values = sp.eigenvalue_frame(v.spark, _VALUES)
-    return r6(sp.gap_statistics(values, sp.eigen_gaps(values)), "mean_gap", "std_gap", "gap_significance").select("optimal_k", "optimal_k_absolute", "mean_gap", "std_gap", "n_zero", "gap_significance")
+    values = _values(v)
+    whole = longs(sp.gap_statistics(values, sp.eigen_gaps(values)), "n_zero")
+    return r6(whole, *[c for c, t in whole.dtypes if t == "double"])
+
+
+def _stars(v: Views, along: float = 0.0) -> DataFrame:
+    """(i, j, w): each vector linked to a node of its class, and with ``along`` to the next of the class: a graph whose eigenvalues and clusters are known."""
+    e = v.emb().where("class_idx is not null").select(F.col("node_id").alias("i"), (-1 - F.col("class_idx")).cast("long").alias("j"), F.lit(1.0).alias("w"))
+    if along:
+        following = F.lead("i").over(Window.partitionBy("j").orderBy("i"))
+        e = e.unionByName(e.select("i", following.alias("j"), F.lit(along).alias("w")).where("j is not null"))
+    return e.unionByName(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+
+
+def _named(labels: DataFrame) -> DataFrame:
+    """(node_id, cluster): each cluster of vectors by its smallest one, as numbers of clusters are arbitrary."""
+    rows = labels.where("node_id >= 0")
+    return rows.join(rows.groupBy("cluster_id").agg(F.min("node_id").alias("cluster")), "cluster_id").select("node_id", "cluster")
+
+
+_COMPONENTS = "select node_id, min(node_id) over (partition by class_idx) as cluster from emb where class_idx is not null"
+
+
+@query("also c as (select count(distinct class_idx) as c, count(*) as n from emb where class_idx is not null) select way, i::integer as idx, case when i < c then 0.0 when i < n then 1.0 else 2.0 end::double as eigenvalue from c, range(20) r(i), (values ('dense'), ('iterated')) w(way) where i < n + c")
+def eigen_known(v: Views) -> DataFrame:
+    """A star has the eigenvalues 0, 1 for each leaf but one, and 2; both ways of computing them."""
+    stars = scratch.staged(_stars(v), "stars")
+    found = [sp.eigenvalue_frame(v.spark, sp.eigenpairs(stars, 20, dense=d)[0]).withColumn("way", F.lit(way)) for way, d in (("dense", sp.DENSE), ("iterated", 0))]
+    return r6(found[0].unionByName(found[1]), "eigenvalue").select("way", "idx", "eigenvalue")
+
+
+@query(f"also k as ({_COMPONENTS}) select 'rows by degree' as way, * from k union all select 'unit rows', * from k")
+def spectral_known(v: Views) -> DataFrame:
+    """The clusters of a graph of separate stars are its stars."""
+    stars, k = scratch.staged(_stars(v), "stars"), v.emb().select("class_idx").dropna().distinct().count()
+    by_degree, unit = (_named(sp.spectral_cluster(stars, k, row_normalise=r)) for r in (False, True))
+    return by_degree.select(F.lit("rows by degree").alias("way"), "*").unionByName(unit.select(F.lit("unit rows").alias("way"), "*"))
+
+
+@query(_COMPONENTS)
+def multiview_known(v: Views) -> DataFrame:
+    """Two views with the same separate parts are clustered into these."""
+    k = v.emb().select("class_idx").dropna().distinct().count()
+    return _named(sp.multiview_cluster(scratch.staged(_stars(v), "stars"), scratch.staged(_stars(v, 0.25), "stars"), k))
 
 
 @query()
@@ -677,11 +738,8 @@ def tsne_plot(v: Views) -> DataFrame:
 @query("select node_id, class_idx, round(e[1], 5) as first_value, round(e[len(e)], 5) as last_value, len(e)::bigint as dim from emb")
 def source_npy(v: Views) -> DataFrame:
     """Packed vectors written as one matrix and read back by blocks."""
-    import os
-
     emb = v.emb()
-    path = _out(v, "npy").removeprefix("file://") + ".npy"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = _local(_out(v, "npy") + ".npy")
     packed = emb.select("node_id", F.concat("embedding", F.array(F.col("node_id").cast("float"), F.col("class_idx").cast("float"))).alias("values"))
     writers.write_npy(packed, path, order="node_id")
     back = readers.read_packed(v.spark, path, dim=64, block_rows=128)
@@ -729,17 +787,28 @@ def sink_json(v: Views) -> DataFrame:
     return readers.read_jsonl(v.spark, path, "node_id bigint, class_idx int, cluster_id bigint")
 
 
-@query("select 0 as part, count(*) as n from nodes union all select 1, count(*) from (select distinct source, target from edges)")
+@query("select 0 as part, node_id as source, null::bigint as target, coalesce(title, '') as title from nodes union all select 1, source, target, null from (select distinct source, target from edges)")
 def sink_graphml(v: Views) -> DataFrame:
-    """K8."""
-    return writers.graphml_elements(v.nodes(), v.edges(), ["title", "class_idx"]).groupBy("part").agg(F.count("*").alias("n"))
+    """K8: written as a file and read back."""
+    path = _local(_out(v, "graphml") + ".graphml")
+    writers.write_graphml(v.nodes(), v.edges(), path, ["title", "class_idx"])
+    line = v.spark.read.text(f"file://{path}").where("value like '<node %' or value like '<edge %'")
+    part = lambda pattern: F.regexp_extract("value", pattern, 1)
+    node = F.col("value").startswith("<node ")
+    found = line.select(F.when(node, 0).otherwise(1).alias("part"), F.when(node, part('<node id="([^"]*)"')).otherwise(part('source="([^"]*)"')).cast("long").alias("source"), F.when(~node, part('target="([^"]*)"')).cast("long").alias("target"), F.when(node, part('key="title">([^<]*)<')).alias("title"))
+    return found.withColumn("title", F.replace(F.replace(F.replace("title", F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&")))
 
 
-@query("select node_id, " + ", ".join(f"round(e[{i + 1}], 6) as dim_{i}" for i in range(4)) + " from emb")
+_DIM = 64
+
+
+@query("select node_id, " + ", ".join(f"round(e[{i + 1}], 6) as dim_{i}" for i in range(_DIM)) + " from emb")
 def sink_wide_vectors(v: Views) -> DataFrame:
-    """K4, K5, P10."""
-    wide = writers.wide_vectors(v.emb(), 4)
-    return wide.select("node_id", *[F.round(F.col(f"dim_{i}").cast("double"), 6).alias(f"dim_{i}") for i in range(4)])
+    """K4, K5, P10: all dimensions, written and read back."""
+    path = _out(v, "wide")
+    writers.write_csv(writers.wide_vectors(v.emb(), _DIM), path)
+    back = readers.read_csv(v.spark, path, "node_id bigint, " + ", ".join(f"dim_{i} float" for i in range(_DIM)))
+    return back.select("node_id", *[F.round(F.col(f"dim_{i}").cast("double"), 6).alias(f"dim_{i}") for i in range(_DIM)])
 
 
 @query("select node_id, title from nodes")
@@ -810,10 +879,14 @@ def masked_pooling(v: Views) -> DataFrame:
 
 
 def _out(v: Views, name: str) -> str:
-    import uuid
-
-    from paperloom import scratch
-
     return f"{scratch.folder(v.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _local(path: str) -> str:
+    """The path of a file in the shared folder, for a writer that needs a mounted one; its folder is made."""
+    scheme, _, rest = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"{path} is not a mounted path")
+    rest = "/" + rest.lstrip("/")
+    os.makedirs(os.path.dirname(rest), exist_ok=True)
+    return rest
