@@ -23,19 +23,19 @@ from paperloom.llm.quality_gam import held_out, score, train
 from paperloom.llm.queries import tokenizer_path
 from paperloom.llm.secret_forest import find_secrets, redact
 from paperloom.llm.shared import table
-from paperloom.session import ship
+from paperloom.session import give_back, ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def begin(spark: SparkSession) -> None:
-    """Before each stage: the package at the workers, and the driver's memory of the stage before given back.
+    """Before each stage: the package at the workers, and the memory of the stage before given back, by the driver and the executors.
 
     Spark's context cleaner drops broadcasts and shuffles when the JVM collects what refers to them, which a
-    driver that has room left may not do for a long time.
+    driver that has room left may not do for a long time. An executor's heap would only grow from stage to stage.
     """
     ship(spark)
-    spark.sparkContext._jvm.java.lang.System.gc()
+    give_back(spark)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Full collections in the driver and then in each executor, after which a JVM returns the heap that it no longer uses.
+
+    A JVM keeps what heap its largest step has taken, though its next step may need that memory outside the heap,
+    for Python workers. Idle executors get one task each; a busy one may be passed over and keeps its heap.
+    """
+    sc = spark.sparkContext
+    sc._jvm.java.lang.System.gc()
+    executors = sc._jsc.sc().getExecutorMemoryStatus().size() - 1  # the driver is in it; a local session has no others
+    if executors > 0:
+        spark.range(0, executors, 1, executors).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
 def run_logger(name: str, path: str | None = None) -> logging.Logger:
     """A logger to the console and, if named, a file; each line tells the driver's peak memory in MB."""
     log = logging.getLogger(name)

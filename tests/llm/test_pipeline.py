@@ -1,6 +1,9 @@
 """The pipeline on the smallest tables."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -69,3 +72,37 @@ def test_run_leaves_only_its_result(spark, tmp_path):
     held = set(files.listdir(folder)) if files.path.isdir(folder) else set()
     rows = pipeline.run(spark, str(tmp_path)).collect()
     assert rows and len(set(files.listdir(folder)) - held) == 1
+
+
+#: On a cluster of two executors, whose logs tell of each collection: a stage's beginning.
+ON_A_CLUSTER = """
+import time
+from pyspark.sql import SparkSession
+import corpus_pipeline
+
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "600m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.executor.extraJavaOptions": "-Xlog:gc:file=LOGS/gc-%p.log"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+until = time.time() + 60
+while spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() < 3 and time.time() < until:
+    time.sleep(0.2)
+spark.range(100).count()
+corpus_pipeline.begin(spark)
+spark.stop()
+"""
+
+
+def test_each_executor_gives_its_memory_back_before_a_stage(tmp_path):
+    import pyspark
+
+    home, logs, repo = tmp_path / "home", tmp_path / "logs", Path(pipeline.__file__).resolve().parent
+    (home / "work").mkdir(parents=True)  # executors work in Spark's home
+    logs.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": str(repo), "PYSPARK_PYTHON": sys.executable}
+    for k in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET", "PYSPARK_SUBMIT_ARGS"):
+        env.pop(k, None)
+    ran = subprocess.run([sys.executable, "-c", ON_A_CLUSTER.replace("LOGS", str(logs))], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=150)
+    assert ran.returncode == 0, ran.stderr[-2000:]
+    assert [p.read_text().count("Pause Full (System.gc())") for p in logs.iterdir()] == [1, 1]
