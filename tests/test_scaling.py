@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from paperloom.operators import similarity as si
 from paperloom.operators import spectral as sp
 from paperloom.operators import strips as st
 
@@ -52,3 +53,26 @@ def test_eigenpairs_of_a_ring(spark):
     v = np.array([r.v for r in rows.orderBy("node_id").collect()])
     assert v.shape == (60, 5) and np.allclose(v.T @ v, np.eye(5), atol=1e-9)
     assert rows.select(F.countDistinct("node_id")).first()[0] == 60
+
+
+def test_blocks_meet_without_being_copied(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.standard_normal((300, 4)).repeat(2, axis=0))]
+    df = spark.createDataFrame(rows, "node_id long, embedding array<double>")
+
+    def kernel(l, r):  # noqa: E741
+        import pyarrow as pa
+
+        yield pa.table({"n": [l.num_rows], "m": [r.num_rows]})
+
+    pairs = si.block_pairs(df, df, kernel, "n long, m long", block=200)
+    assert "CartesianProduct" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 9 and pairs.agg(F.sum(F.col("n") * F.col("m"))).first()[0] == 600**2
+    # equal vectors are equally similar, in any blocks: of equals the smaller id
+    x = np.array([r[1] for r in rows])
+    sims = np.round(x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None], 12)
+    np.fill_diagonal(sims, -2)
+    for block in (None, 250):
+        got = {(r.i, r["rank"]): r.j for r in si.knn(df, 3, block=block).collect()}
+        want = {(i, k + 1): int(j) for i in range(600) for k, j in enumerate(np.lexsort((np.arange(600), -sims[i]))[:3])}
+        assert got == want
