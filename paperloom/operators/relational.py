@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom import scratch
 from paperloom.functions.text import clean_latex, text_or_empty
 
 
@@ -73,8 +74,6 @@ def unmatched(df: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """0-based positions of the sorted keys. Sorted by range, so no task holds all rows; only the partitions' row counts are summed."""
     parts = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    from paperloom import scratch
-
     parts = scratch.staged(parts, "index")
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_start")
@@ -168,20 +167,28 @@ def match_titles(left: DataFrame, right: DataFrame, more_than: float = 0.5, per_
 
     Overlapping by more than the share takes one of the left title's rarer words
     (all but that share of them, by rarity), so only those are joined on, and
-    words that most titles have bring no candidates together.
+    words that most titles have bring no candidates together. Titles of the same words
+    are compared once, and of equal right ones only the ``per_title`` smallest ids can be chosen.
     """
-    words = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.array_distinct(F.filter(F.split(F.lower(clean_latex("title")), r"\s+"), lambda t: t != "")).alias(f"{n}_words"))
-    a, b = words(left, "left"), words(right, "right")
-    spread = b.select("right_id", "right_words", F.explode("right_words").alias("word"))
+    words = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.array_sort(F.array_distinct(F.filter(F.split(F.lower(clean_latex("title")), r"\s+"), lambda t: t != ""))).alias(f"{n}_words"))
+    a, b = words(left, "left"), words(right, "right").distinct()
+    place = F.row_number().over(Window.partitionBy("right_words").orderBy("right_id"))
+    # per_title ids a set of words
+    ids = b.withColumn("_place", place).where(F.col("_place") <= per_title).groupBy("right_words").agg(F.collect_list("right_id").alias("right_ids"))
+    b, titles = scratch.staged(ids, "titles"), a.select("left_words").distinct()
+    spread = b.select("right_ids", "right_words", F.explode("right_words").alias("word"))
     often = spread.groupBy("word").agg(F.count("*").alias("n"))
-    by_rarity = a.select("left_id", "left_words", F.explode("left_words").alias("word")).join(often, "word", "left")
-    rare = by_rarity.groupBy("left_id", "left_words").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("w"))
+    by_rarity = titles.select("left_words", F.explode("left_words").alias("word")).join(often, "word", "left")
+    rare = by_rarity.groupBy("left_words").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("w"))
     size = F.size("w")
-    probe = rare.select("left_id", "left_words", F.explode(F.slice("w", F.lit(1), (size - F.floor(size * more_than)).cast("int"))).alias("p")).select("left_id", "left_words", F.col("p.word").alias("word"))
+    probe = rare.select("left_words", F.explode(F.slice("w", F.lit(1), (size - F.floor(size * more_than)).cast("int"))).alias("p")).select("left_words", F.col("p.word").alias("word"))
     overlap = F.size(F.array_intersect("left_words", "right_words")) / F.size("left_words")
-    shared = probe.join(spread, "word").select("left_id", "right_id", overlap.alias("overlap")).where(F.col("overlap") > more_than).distinct()
-    rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("overlap"), "right_id"))
-    return shared.withColumn("rank", rank).where(F.col("rank") <= per_title).select("left_id", "right_id", "overlap")
+    shared = probe.join(spread, "word").select("left_words", "right_ids", overlap.alias("overlap")).where(F.col("overlap") > more_than).distinct()
+    rank = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("overlap"), "right_id"))
+    pairs = shared.select("left_words", "overlap", F.explode("right_ids").alias("right_id")).distinct()
+    best = pairs.withColumn("rank", rank("left_words")).where(F.col("rank") <= per_title).drop("rank")
+    found = a.join(best, "left_words").select("left_id", "right_id", "overlap").distinct()
+    return found.withColumn("rank", rank("left_id")).where(F.col("rank") <= per_title).select("left_id", "right_id", "overlap")
 
 
 def reconstruct_labels(sampled: DataFrame, projected: DataFrame, original: DataFrame, order: str = "node_id") -> DataFrame:

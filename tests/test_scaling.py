@@ -1,11 +1,16 @@
 """Steps whose cost must not grow faster than their input: the way they are computed, and the same results."""
 
+import gzip
+import xml.etree.ElementTree as ET
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from paperloom.operators import relational as rl
 from paperloom.operators import similarity as si
 from paperloom.operators import spectral as sp
 from paperloom.operators import strips as st
+from paperloom.sources import readers, writers
 
 
 def ring(spark, n):
@@ -76,3 +81,47 @@ def test_blocks_meet_without_being_copied(spark):
         got = {(r.i, r["rank"]): r.j for r in si.knn(df, 3, block=block).collect()}
         want = {(i, k + 1): int(j) for i in range(600) for k, j in enumerate(np.lexsort((np.arange(600), -sims[i]))[:3])}
         assert got == want
+
+
+def test_equal_titles_are_compared_once(spark):
+    """Before, 4,000 titles of four kinds met in 4 million pairs."""
+    names = ["red bolt", "red ring", "old bolt big", "Bolt RED"]
+    df = spark.range(4000).select("id", F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 4 + 1).cast("int")).alias("title"))
+    rows = rl.match_titles(df, df)
+    joined = [r.left_id for r in rows.collect()]
+    assert len(joined) == 12000
+    got = {i: [r.right_id for r in rows.where(f"left_id = {i}").orderBy(F.desc("overlap"), "right_id").collect()] for i in (3, 5, 3998)}
+    assert got == {3: [0, 3, 4], 5: [1, 5, 9], 3998: [2, 6, 10]}
+    assert rows.where("left_id % 4 = 2").agg(F.min("overlap")).first()[0] == 1.0
+    titles = [p for p in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in p]
+    assert titles and not any("left_id" in p and "word#" in p for p in titles)
+
+
+def test_graphml_is_put_together_from_files(spark, tmp_path):
+    nodes = spark.range(50).select(F.col("id").alias("node_id"), F.concat(F.lit("a & "), "id").alias("title"))
+    edges = spark.range(50).select(F.col("id").alias("source"), (49 - F.col("id")).alias("target"))
+    before = writers.DataFrame.toLocalIterator
+    try:
+        writers.DataFrame.toLocalIterator = None  # no rows go through the driver
+        writers.write_graphml(nodes, edges, str(tmp_path / "g"), ["title"])
+    finally:
+        writers.DataFrame.toLocalIterator = before
+    lines = (tmp_path / "g").read_text().splitlines()
+    assert lines[0].startswith("<?xml") and lines[-2:] == ["</graph>", "</graphml>"]
+    body = lines[4:-2]
+    assert body == sorted(body, key=lambda x: (x.startswith("<edge"), x)) and len(body) == 100
+    ET.parse(tmp_path / "g")
+
+
+def test_ogb_folders_are_numbered_on(spark, tmp_path):
+    for name, n in (("node-feat", 3), ("node-label", 2), ("edge", 2)):
+        folder = tmp_path / f"{name}.csv.gz"
+        folder.mkdir()
+        rows = [f"{i}.0,{i}.5" if name == "node-feat" else f"{i % 7}" if name == "node-label" else f"{i},{i + 1}" for i in range(60)]
+        cuts = [0, 5, 55, 60] if n == 3 else [0, 40, 60]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            with gzip.open(folder / f"part-{k}.gz", "wt") as f:
+                f.write("\n".join(rows[a:b]) + "\n")
+    nodes, edges = readers.read_ogb(spark, str(tmp_path))
+    assert sorted((r.node_id, r.class_idx, tuple(r.embedding)) for r in nodes.collect()) == [(i, i % 7, (float(i), i + 0.5)) for i in range(60)]
+    assert edges.count() == 60
