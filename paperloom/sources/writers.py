@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 import xml.sax.saxutils as xml
 from collections.abc import Iterable
 
@@ -67,12 +68,31 @@ def graphml_elements(nodes: DataFrame, edges: DataFrame, attributes: list[str])
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, attributes: list[str]) -> None:
-    """K8: one local GraphML file, streamed through the driver a partition at a time."""
+    """K8: one local GraphML file. The elements are written by the executors, and their files, in order, put together as bytes."""
+    from paperloom import scratch
+
+    spark = nodes.sparkSession
+    made = f"{scratch.folder(spark)}/graphml-{uuid.uuid4().hex}"
+    write_text(graphml_elements(nodes, edges, attributes).orderBy("part", "value").select("value"), made)
     with open(path, "w", encoding="utf-8") as f:
         f.write('<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
         f.writelines(f'<key id="{xml.escape(a)}" for="node" attr.name="{xml.escape(a)}" attr.type="string"/>\n' for a in attributes)
         f.write('<graph edgedefault="directed">\n')
-        f.writelines(r[0] + "\n" for r in graphml_elements(nodes, edges, attributes).orderBy("part", "value").select("value").toLocalIterator())
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(made).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((f.getPath() for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(made)) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    out = jvm.java.io.FileOutputStream(path, True)
+    try:
+        for part in found:
+            data = fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 16, False)
+            finally:
+                data.close()
+    finally:
+        out.close()
+    scratch.drop(spark, made)
+    with open(path, "a", encoding="utf-8") as f:
         f.write("</graph>\n</graphml>\n")
 
 
