@@ -205,18 +205,22 @@ def read_ogb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a node-property data set in the raw layout of the Open Graph Benchmark.
 
     ``node-feat``, ``node-label`` and ``edge`` are headerless ``.csv.gz``; a node's id is its line's number. A gzip
-    file can't be split, so one task reads each, and the numbers follow the lines.
+    file can't be split, so one task reads each. In place of a file there may be a folder of them, whose lines are
+    numbered on in the order of the names.
     """
 
     exists(spark, *[f"{path.rstrip('/')}/{name}.csv.gz" for name in ("node-feat", "node-label", "edge")])
 
     def lines(name: str) -> DataFrame:
-        rows = spark.read.text(f"{path.rstrip('/')}/{name}.csv.gz")
-        return rows.coalesce(1).select(F.monotonically_increasing_id().alias("node_id"), F.split("value", ",").alias("cells"))
+        rows = spark.read.text(f"{path.rstrip('/')}/{name}.csv.gz").select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+        # one row a file; the lines of a file follow one another in a task
+        files = rows.groupBy("_file").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+        first = files.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n") - F.col("_least")).alias("_first"))
+        return rows.join(F.broadcast(first), "_file").select((F.col("_id") + F.col("_first")).alias("node_id"), F.split("value", ",").alias("cells"))
 
     features = lines("node-feat").select("node_id", F.transform("cells", lambda x: x.cast("float")).alias("embedding"))
     labels = lines("node-label").select("node_id", F.get("cells", F.lit(0)).cast("double").cast("int").alias("class_idx"))
-    edges = lines("edge").select(F.get("cells", F.lit(0)).cast("long").alias("source"), F.get("cells", F.lit(1)).cast("long").alias("target"))
+    edges = spark.read.text(f"{path.rstrip('/')}/edge.csv.gz").select(F.split("value", ",").alias("cells")).select(F.get("cells", F.lit(0)).cast("long").alias("source"), F.get("cells", F.lit(1)).cast("long").alias("target"))
     return features.join(labels, "node_id", "left").select("node_id", "class_idx", "embedding"), edges
 
 
