@@ -6,10 +6,12 @@ import xml.etree.ElementTree as ET
 import numpy as np
 from pyspark.sql import functions as F
 
+from paperloom.operators import metrics as me
 from paperloom.operators import relational as rl
 from paperloom.operators import similarity as si
 from paperloom.operators import spectral as sp
 from paperloom.operators import strips as st
+from paperloom.operators import vectorize as ve
 from paperloom.sources import readers, writers
 
 
@@ -125,3 +127,24 @@ def test_ogb_folders_are_numbered_on(spark, tmp_path):
     nodes, edges = readers.read_ogb(spark, str(tmp_path))
     assert sorted((r.node_id, r.class_idx, tuple(r.embedding)) for r in nodes.collect()) == [(i, i % 7, (float(i), i + 0.5)) for i in range(60)]
     assert edges.count() == 60
+
+
+def test_silhouette_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i, i % 3, [float(i % 3), float(i)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "node_id long, cluster_id int, embedding array<double>").mapInArrow(count, "node_id long, cluster_id int, embedding array<double>")
+    assert me.silhouette_values(df, block=11).count() == 30 and seen.value == 30
+
+
+def test_tfidf_reads_the_counts_once_for_weights(spark):
+    df = spark.createDataFrame([(1, "ab ab cd"), (2, "cd ef"), (2, "ef")], "doc_id long, text string")
+    out = ve.tfidf(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "tf#" in line for line in plan.split("\n")) == 2  # the vocabulary and the weights
+    assert all(abs(r[0] - 1) < 1e-12 for r in out.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight"))).select(F.col("sum((weight * weight))")).collect())
